@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.llm.encoding import repaired
 from keystrata.llm.leakage import LeakIndex, leaked_items
+from keystrata.llm.lookalikes import lookalike_pairs, normalized
 from keystrata.llm.spans import SharedSpans, shared_span_pairs
 from keystrata.llm.tokenizer import encode_corpus
 from keystrata.sources.tables import table
@@ -27,6 +29,33 @@ def vocabulary_path(name: str) -> str:
     return os.path.join(folder, name)
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    bodies = lookalike_pairs(table(spark, folder, "input_document"), "id", "body")
+    terms = lookalike_pairs(table(spark, folder, "kaggle_excerpt"), "result_id", "normalizedKeyword", within="id")
+    found = [x.select(F.lit(name).alias("tbl"), "key_a", "key_b") for name, x in (("input_document", bodies), ("kaggle_excerpt", terms))]
+    return found[0].unionByName(found[1])
+
+
+def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """How many spellings each keyword has that look alike."""
+    rows = normalized(table(spark, folder, "kaggle_excerpt"), "normalizedKeyword")
+    rows = rows.where("normal IS NOT NULL AND normal <> ''")
+    return rows.groupBy("normal").agg(F.count_distinct("normalizedKeyword").alias("spellings"), F.count_distinct("result_id").alias("results"))
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled records with the original text wherever it can be recovered."""
+    corpus = table(spark, folder, "multilingual_corpus")
+    words = repaired(table(spark, folder, "stopwords"), corpus, "entry_id", "word", "lang")
+    bodies = repaired(table(spark, folder, "input_document"), corpus, "id", "body")
+    both = words.withColumn("tbl", F.lit("stopwords")).unionByName(bodies.withColumn("tbl", F.lit("input_document")))
+    return both.select("tbl", "row_key", "original", F.array_join("chains", "; ").alias("chains"), "lost")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_repaired(spark, folder).select("tbl", "row_key").distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -51,6 +80,10 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_terms": p1_terms,
+        "p3_found": p3_found,
+        "p3_repaired": p3_repaired,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_near": p7_near,

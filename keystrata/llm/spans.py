@@ -180,11 +180,13 @@ class SharedSpans:
         def fully(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: dict[str, list] = {"k": [], "c": [], "start": []}
+                seen: set[tuple[int, int]] = set()  # neighbouring places share most of their windows
                 for c, p, before, after, shifts in zip(*(x.to_pylist() for x in batch.columns)):
                     whole = before + after
                     for s in (s for shift in shifts for s in range(shift, min(half, shift + step - 1) + 1)):
                         lo = len(before) - s
-                        if lo >= 0 and lo + least <= len(whole):
+                        if lo >= 0 and lo + least <= len(whole) and (c, p - s) not in seen:
+                            seen.add((c, p - s))
                             for name, value in zip(out, (_digest(whole[lo : lo + least]), c, p - s)):
                                 out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=full_schema)
