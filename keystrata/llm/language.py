@@ -10,16 +10,22 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keystrata.llm.lookalikes import skeleton_letters
 
 #: n-grams of 1 to GRAMS characters; centroids for each language; cosine below which a text is rejected; lead below
 #: which the rest of the document decides.
-GRAMS, CENTROIDS, REJECT, UNSURE = 4, 3, 0.05, 0.04
+GRAMS, CENTROIDS, REJECT, UNSURE = 4, 3, 0.05, 0.12
 NOT_WORD = re.compile(r"[\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")
+LATIN_WORD = re.compile(r"[A-Za-z’'\-]+\.?")
 
 
 @lru_cache(1)
@@ -29,6 +35,12 @@ def _letters() -> dict[int, str | None]:
 
 def folded(text: str) -> str:
     """Lower case words of plain letters, parted by single blanks, so that disguised letters count as what they look like."""
+    # in a text of another script, Latin words are names
+    if not text.isascii():
+        words = WORDS.findall(text)
+        other = sum(len(w) for w in words if 2 * sum(c > "\u036f" for c in w) > len(w))
+        if other >= 0.2 * sum(map(len, words)):
+            text = LATIN_WORD.sub(" ", text)
     text = unicodedata.normalize("NFC", text.translate(_letters()))
     return f" {NOT_WORD.sub(' ', text.lower()).strip()} "
 
@@ -129,3 +141,56 @@ def language_model(texts: dict[str, list[str]]) -> LanguageModel:
     if at not in _models:
         _models[at] = LanguageModel(texts)
     return _models[at]
+
+
+def language_segments(df: DataFrame, corpus: DataFrame, key: str = "id", text: str = "body", label: str = "language", order: str | None = "arrived_at") -> DataFrame:
+    """(key STRING, begin_at BIGINT, end_at BIGINT, lang STRING, confidence DOUBLE, segments INT, label STRING).
+
+    One row for each maximal run of whole sentences in one language, with the language and a confidence from 0 to 1: the
+    mean of its sentences', by their lengths. Offsets count code points of the text as stored. Garbled sentences are
+    judged as their repaired form. A key with several rows gives those of the last one by `order`; null keys and null,
+    empty or blank texts give none; a text of signs alone has a null language. Sentences come from a boundary model of
+    all texts given.
+    """
+    from keystrata.llm.encoding import read_again, repairer, training_texts
+    from keystrata.llm.sentences import BoundaryModel, _language_of, latest_rows, learn_boundaries, split_units
+
+    rows = latest_rows(df, key, text, order, label)
+    training = training_texts(corpus)
+    parts = learn_boundaries(rows, training).parts
+    entries = [(x, part, w) for part, by in parts.items() for x, ws in by.items() for w in sorted(ws)]
+    shared = df.sparkSession.sparkContext.broadcast((training, entries))  # sizes checked where they are made
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        languages, model, fixer = language_model(shared.value[0]), BoundaryModel(shared.value[1]), repairer(shared.value[0])
+        of = _language_of(languages)
+
+        for batch in batches:
+            out = []
+            for k, t, said in zip(batch["key"], batch["t"], batch["label"]):
+                units = split_units(t, model, of)
+                garbled = fixer.repair(t)[1]
+                legible = [read_again(t[b:e], next((c for x, y, c in garbled if x < e and y > b), ())) for b, e in units]
+                judged = languages.classify_parts(legible)
+                runs: list[list] = []
+                for (b, e), (x, sure) in zip(units, judged):
+                    if runs and runs[-1][2] == x:
+                        runs[-1][1] = e
+                        runs[-1][3] += sure * (e - b)
+                        runs[-1][4] += e - b
+                    else:
+                        runs.append([b, e, x, sure * (e - b), e - b])
+                out += [(k, b, e, x, s / n, len(runs), said) for b, e, x, s, n in runs]
+            yield pd.DataFrame(out, columns=["key", "begin_at", "end_at", "lang", "confidence", "segments", "label"])
+
+    told = rows.select(F.col("key").cast("string").alias("key"), "t", F.col(label).cast("string").alias("label")).where(F.col("t").rlike(r"\S"))
+    found = told.mapInPandas(run, "key string, begin_at long, end_at long, lang string, confidence double, segments int, label string")
+    return found.withColumnRenamed("key", key)
+
+
+def mislabelled(segments: DataFrame) -> DataFrame:
+    """Of language_segments' rows, those of texts whose label is missing or names another language, or that are mixed."""
+    said = F.lower(F.substring(F.trim("label"), 1, 2))
+    return segments.where("label IS NULL OR segments > 1").unionByName(
+        segments.where((F.col("segments") == 1) & F.col("label").isNotNull() & ~said.eqNullSafe(F.col("lang")))
+    )

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.encoding import repaired
+from keystrata.llm.language import language_segments, mislabelled
 from keystrata.llm.leakage import LeakIndex, leaked_items
 from keystrata.llm.lookalikes import lookalike_pairs, normalized
+from keystrata.llm.sentences import sentence_units
 from keystrata.llm.spans import SharedSpans, shared_span_pairs
 from keystrata.llm.tokenizer import encode_corpus
 from keystrata.sources.tables import table
@@ -56,6 +58,26 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_repaired(spark, folder).select("tbl", "row_key").distinct()
 
 
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    found = language_segments(table(spark, folder, "input_document"), table(spark, folder, "multilingual_corpus"))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = language_segments(table(spark, folder, "input_document"), table(spark, folder, "multilingual_corpus"))
+    return mislabelled(found).select("id", "begin_at", "lang")
+
+
+def p5_units(spark: SparkSession, folder: str) -> DataFrame:
+    """The units of every body, numbered as sentence ids number them."""
+    return sentence_units(table(spark, folder, "input_document"), table(spark, folder, "multilingual_corpus"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    garbled = p3_found(spark, folder).where("tbl = 'input_document'").select(F.col("row_key").alias("id"))
+    return p5_units(spark, folder).join(garbled, "id", "left_anti").select("id", "begin_at", "end_at")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -84,6 +106,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_terms": p1_terms,
         "p3_found": p3_found,
         "p3_repaired": p3_repaired,
+        "p4_found": p4_found,
+        "p4_segments": p4_segments,
+        "p5_found": p5_found,
+        "p5_units": p5_units,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_near": p7_near,
