@@ -276,7 +276,7 @@ def with_sentences(kws: DataFrame, tags: DataFrame, term_rows: DataFrame) -> Dat
 class Extraction:
     """The stages of one extraction over a table of documents, each a lazy DataFrame."""
 
-    def __init__(self, docs: DataFrame, stopwords: DataFrame, options: Options = Options(), splitter=text.sentence_tokens, lemmatize=None, normalize=None, similar=None) -> None:
+    def __init__(self, docs: DataFrame, stopwords: DataFrame, options: Options = Options(), splitter=text.sentence_tokens, lemmatize=None, normalize=None, similar=None, keep=None) -> None:
         self.options = options
         self.tags = tagged(tokens(docs, splitter), stopwords, lemmatize, normalize)
         self.terms = terms(self.tags)
@@ -284,7 +284,8 @@ class Extraction:
         self.metrics = graph_metrics(self.edges)
         self.scores = term_scores(self.terms, self.metrics, options)
         self.candidates = candidates(self.tags, self.scores, self.edges, options)
-        self.keywords = keywords(self.candidates, options, similar)
+        kept = self.candidates.where(keep) if keep is not None else self.candidates
+        self.keywords = keywords(kept, options, similar)
 
     def detailed(self) -> DataFrame:
         return with_sentences(self.keywords, self.tags, self.terms)

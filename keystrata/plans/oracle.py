@@ -9,9 +9,122 @@ P2_FREQUENCIES = r"""
     WHERE "normalizedKeyword" IS NOT NULL AND NOT regexp_matches("normalizedKeyword", '^[\s\p{Z}]*$')
     GROUP BY 1
 """
+WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The stages over eval_item, whose texts are single lines without abbreviations, quotations or contractions.
+WORD = r"\p{L}[\p{L}\p{M}\p{Nd}]*(?:(?:[.''’-]+|…+)[\p{L}\p{M}\p{Nd}]+)*|\p{Nd}+(?:[.,]\p{Nd}+)*|[^\s]"
+MARK = r"[!-/:-@\[-`{-~]"
+
+
+def stages(window: int = 1, n: int = 3, features: str = "wrel wfreq wspread wcase wpos KPF") -> str:
+    on = features.split()
+
+    def feature(name: str, sql: str, off: str) -> str:
+        return f"{sql if name in on else off} AS {name}"
+
+    sizes = []
+    for size in range(1, n + 1):
+        parts = [f"l{k}" for k in range(size - 1, -1, -1)]
+        product, total = "CAST(1 AS DOUBLE)", "CAST(0 AS DOUBLE)"
+        for i, x in enumerate(parts):
+            plain = f"({product}) * {x}.h", f"({total}) + {x}.h"
+            if 0 < i < size - 1:
+                p = f"({x}.w_in / {parts[i - 1]}.tf) * ({parts[i + 1]}.w_in / {parts[i + 1]}.tf)"
+                product, total = f"CASE WHEN {x}.stopword THEN ({product}) * (2 - {p}) ELSE {plain[0]} END", f"CASE WHEN {x}.stopword THEN ({total}) - (1 - {p}) ELSE {plain[1]} END"
+            else:
+                product, total = plain
+        join = lambda f: " || ' ' || ".join(f"{x}.{f}" for x in parts)
+        sizes.append(
+            f"SELECT item_id, pos_text, {size} AS size, {join('norm')} AS norm_kw, {join('word')} AS kw, NOT regexp_matches({' || '.join(f'{x}.tag' for x in parts)}, '[ud]') AS clean, "
+            f"{product} AS product, {total} AS total FROM lagged WHERE {parts[0]} IS NOT NULL AND NOT {parts[0]}.stopword AND NOT {parts[-1]}.stopword"
+        )
+    lags = ", ".join(["struct_pack(word, norm, tag, h, stopword, tf, w_in) AS l0", *(f"lag(struct_pack(word, norm, tag, h, stopword, tf, w_in), {k}) OVER b AS l{k}" for k in range(1, n))])
+    return f"""
+    WITH sentence AS (
+        SELECT item_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent, len(s) AS sentences
+        FROM (SELECT item_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM eval_item)
+    ), raw AS (
+        SELECT item_id, sent, sentences, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos_sent
+        FROM (SELECT *, regexp_extract_all(sentence, '{WORD}') AS t FROM sentence)
+    ), marked AS (
+        SELECT *, regexp_full_match(word, '{MARK}+') AS mark,
+               CAST(sum(CAST(regexp_full_match(word, '{MARK}+') AS INT)) OVER (PARTITION BY item_id, sent ORDER BY pos_sent) AS INT) AS block FROM raw
+    ), token AS (
+        SELECT item_id, CAST(sent AS INT) AS sent, CAST(pos_sent AS INT) AS pos_sent, block, sentences, word, lower(word) AS norm,
+               CAST(row_number() OVER (PARTITION BY item_id ORDER BY sent, pos_sent) - 1 AS INT) AS pos_text,
+               CASE WHEN length(lower(word)) > 3 AND ends_with(lower(word), 's') THEN left(lower(word), length(word) - 1) ELSE lower(word) END AS term
+        FROM marked WHERE NOT mark
+    ), list AS (
+        SELECT DISTINCT lower(regexp_replace(word, '^{WHITE}+|{WHITE}+$', '', 'g')) AS w FROM stopwords WHERE lower(left(lang, 2)) = 'en' AND word IS NOT NULL
+    ), tags AS (
+        SELECT *, norm IN (SELECT w FROM list WHERE w <> '') OR term IN (SELECT w FROM list WHERE w <> '') OR length(regexp_replace(term, '{MARK}', '', 'g')) < 3 AS stop_form,
+            CASE WHEN regexp_full_match(replace(word, ',', ''), '[0-9]+') OR regexp_full_match(regexp_replace(replace(word, ',', ''), '\\.', ''), '[0-9]+') THEN 'd'
+                 WHEN regexp_matches(word, '\\p{{Nd}}') = regexp_matches(word, '\\p{{L}}') OR len(regexp_extract_all(word, '{MARK}')) > 1 THEN 'u'
+                 WHEN NOT regexp_matches(word, '\\p{{Ll}}|\\p{{Lo}}|\\p{{Lm}}|\\p{{Lt}}') AND regexp_matches(word, '\\p{{Lu}}') THEN 'a'
+                 WHEN length(word) > 1 AND regexp_matches(word, '^\\p{{Lu}}') AND pos_sent > 0 AND len(regexp_extract_all(word, '\\p{{Lu}}')) = 1 THEN 'n' ELSE 'p' END AS tag
+        FROM token
+    ), terms AS (
+        SELECT item_id, term, count(*) AS tf, count(*) FILTER (tag = 'a') AS tf_a, count(*) FILTER (tag = 'n') AS tf_n, arg_min(stop_form, pos_text) AS stopword,
+               min(pos_text) AS first_pos, count(DISTINCT sent) AS in_sentences, list_sort(list(DISTINCT sent)) AS ids, any_value(sentences) AS sentences
+        FROM tags GROUP BY 1, 2
+    ), stats AS (
+        SELECT item_id, CAST(any_value(sentences) AS INT) AS sentences, CAST(sum(tf) AS BIGINT) AS words, max(tf) AS max_tf,
+               avg(tf) FILTER (NOT stopword) AS avg_tf, stddev_pop(tf) FILTER (NOT stopword) AS std_tf FROM terms GROUP BY 1
+    ), pair AS (
+        SELECT item_id, lag(struct_pack(term, tag), k) OVER (PARTITION BY item_id, sent, block, k ORDER BY pos_text) AS p, term AS dst, tag
+        FROM tags, (SELECT unnest(range(1, {window + 1})) AS k)
+    ), edges AS (
+        SELECT item_id, p.term AS src, dst, count(*) AS weight FROM pair WHERE p IS NOT NULL AND p.tag NOT IN ('u', 'd') AND tag NOT IN ('u', 'd') GROUP BY 1, 2, 3
+    ), metrics AS (
+        SELECT item_id, term, count(r) AS wdr, CAST(coalesce(sum(r), 0) AS BIGINT) AS wir, count(l) AS wdl, CAST(coalesce(sum(l), 0) AS BIGINT) AS wil
+        FROM (SELECT item_id, src AS term, weight AS r, NULL AS l FROM edges UNION ALL SELECT item_id, dst, NULL, weight FROM edges) GROUP BY 1, 2
+    ), featured AS (
+        SELECT t.*, {feature("wrel", "(0.5 + CASE WHEN coalesce(wil, 0) = 0 THEN 0 ELSE wdl / wil END * (tf / max_tf)) + (0.5 + CASE WHEN coalesce(wir, 0) = 0 THEN 0 ELSE wdr / wir END * (tf / max_tf))", "CAST(1 AS DOUBLE)")},
+            {feature("wfreq", "tf / (avg_tf + std_tf)", "CAST(0 AS DOUBLE)")}, {feature("wspread", "in_sentences / t.sentences", "CAST(0 AS DOUBLE)")},
+            {feature("wcase", "greatest(tf_a, tf_n) / (1 + ln(tf))", "CAST(0 AS DOUBLE)")}, {feature("wpos", "ln(ln(3 + list_median(ids)))", "CAST(1 AS DOUBLE)")}
+        FROM terms t JOIN stats USING (item_id) LEFT JOIN metrics USING (item_id, term)
+    ), scores AS (
+        SELECT *, wpos * wrel / (wcase + wfreq / wrel + wspread / wrel) AS h FROM featured
+    ), weighted AS (
+        SELECT t.*, s.h, s.stopword, s.tf, coalesce(e.weight, 0) AS w_in
+        FROM (SELECT *, lag(term) OVER (PARTITION BY item_id, sent, block ORDER BY pos_text) AS prev FROM tags) t
+        JOIN scores s USING (item_id, term) LEFT JOIN edges e ON e.item_id = t.item_id AND e.src = t.prev AND e.dst = t.term
+    ), lagged AS (
+        SELECT item_id, pos_text, {lags} FROM weighted WINDOW b AS (PARTITION BY item_id, sent, block ORDER BY pos_text)
+    ), ngrams AS ({" UNION ALL ".join(sizes)}
+    ), candidates AS (
+        SELECT item_id, norm_kw, arg_min(kw, pos_text) AS kw, CAST(any_value(size) AS INT) AS size, count(*) AS tf, bool_or(clean) AS clean,
+               any_value(product) / ((any_value(total) + 1) * {"count(*)" if "KPF" in on else "1"}) AS h FROM ngrams GROUP BY 1, 2
+    )"""
+
+
+SIM_PAIRS = """
+    WITH k AS (SELECT DISTINCT id, "sentenceIds"[1] AS s, "normalizedKeyword" AS a FROM kaggle_excerpt
+               WHERE regexp_full_match("normalizedKeyword", '[a-z ]+') AND "sentenceIds"[1] IS NOT NULL),
+    pairs AS (SELECT DISTINCT x.a, y.a AS b FROM k x JOIN k y ON x.id = y.id AND x.s = y.s AND x.a < y.a)"""
+RANKED = """
+    WITH k AS (SELECT id AS doc, "normalizedKeyword" AS item, min(score) AS score FROM kaggle_excerpt WHERE score IS NOT NULL AND "normalizedKeyword" IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT doc, item, row_number() OVER (PARTITION BY doc ORDER BY score, item) AS rank, row_number() OVER (PARTITION BY doc ORDER BY length(item) DESC, item) AS long_rank FROM k)"""
+LISTS = f"""SELECT DISTINCT lower(left(lang, 2)) AS lang, lower(regexp_replace(word, '^{WHITE}+|{WHITE}+$', '', 'g')) AS word
+    FROM stopwords WHERE lang IS NOT NULL AND regexp_replace(word, '^{WHITE}+|{WHITE}+$', '', 'g') <> ''"""
+TRIM_TITLE = f"regexp_replace(coalesce(title, ''), '^{WHITE}+|{WHITE}+$', '', 'g')"
+SEQM = """
+    likeness AS (SELECT *, greatest(length(a), length(b)) AS longest, least(length(a), length(b)) AS shortest,
+        list_distinct(string_split(a, '')) AS ca, list_distinct(string_split(b, '')) AS cb,
+        list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS wa, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS wb,
+        list_distinct(list_transform(range(1, length(a) - 1), lambda i: substring(a, i, 3))) AS ta,
+        list_distinct(list_transform(range(1, length(b) - 1), lambda i: substring(b, i, 3))) AS tb FROM pairs),
+    shares AS (SELECT *, len(list_intersect(ca, cb)) / len(list_distinct(list_concat(ca, cb))) AS chars, len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) AS words,
+        CASE WHEN len(list_concat(ta, tb)) = 0 THEN 0 ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END AS grams FROM likeness)
+    SELECT a, b, round(CASE WHEN abs(length(a) - length(b)) > 0.6 * longest OR abs(len(string_split(a, ' ')) - len(string_split(b, ' '))) > 1 THEN 0
+        WHEN longest > 3 AND shortest > 0 AND (left(a, 1) <> left(b, 1) OR right(a, 1) <> right(b, 1) OR shortest >= 3 AND left(a, 2) <> left(b, 2)) THEN 0
+        WHEN shortest / longest < 0.3 OR chars < 0.2 THEN 0
+        WHEN longest <= 4 THEN chars * (shortest / longest)
+        WHEN (len(wa) > 1 OR len(wb) > 1) AND words > 0.4 THEN words
+        ELSE least(0.3 * (shortest / longest) + 0.2 * chars + 0.5 * grams, 1) END, 9) AS likeness FROM shares"""
 
 
 def oracle_sql() -> dict[str, str]:
+    candidate = "SELECT item_id, norm_kw, kw, size, tf, round(h, 9) AS h FROM candidates WHERE clean"
     return {
         "p2_frequencies": P2_FREQUENCIES,
         "p2_found": f"""
@@ -19,4 +132,44 @@ def oracle_sql() -> dict[str, str]:
             SELECT term, 'rare' AS mark FROM f WHERE occurrences < 3
             UNION ALL SELECT term, 'common' FROM f, total WHERE records > 0.02 * n
         """,
+        "pre_filter": f"""SELECT DISTINCT id, array_to_string(list_transform(string_split(body, chr(10)),
+            lambda x: CASE WHEN regexp_matches(x, '^{WHITE}*[A-Z]') THEN chr(10) || chr(10) ELSE ' ' END || replace(x, chr(9), ' ')), '') AS filtered FROM input_document""",
+        "tokenize": stages() + "SELECT item_id, sent, pos_sent, block, pos_text, word, norm, term FROM tags",
+        "token_tags": stages() + "SELECT item_id, pos_text, word, tag, stop_form FROM tags",
+        "term_frequency": stages() + "SELECT item_id, term, tf, tf_a, tf_n, stopword, first_pos, CAST(in_sentences AS INT) AS in_sentences, array_to_string(ids, ',') AS sentence_ids FROM terms",
+        "doc_term_stats": stages() + "SELECT item_id, sentences, words, max_tf, round(avg_tf, 9) AS avg_tf, round(std_tf, 9) AS std_tf FROM stats",
+        "cooccurrence_edges": stages() + "SELECT * FROM edges",
+        "cooccurrence_window2": stages(2) + "SELECT * FROM edges",
+        "graph_metrics": stages() + "SELECT * FROM metrics",
+        "term_scores": stages() + "SELECT item_id, term, round(wrel, 9) AS wrel, round(wfreq, 9) AS wfreq, round(wspread, 9) AS wspread, round(wcase, 9) AS wcase, round(wpos, 9) AS wpos, round(h, 9) AS h FROM scores",
+        "candidate_scores": stages() + candidate,
+        "candidate_scores_no_kpf": stages(features="wrel wfreq wspread wcase wpos") + candidate,
+        "candidate_scores_wfreq_only": stages(features="wfreq") + candidate,
+        "candidate_validity": stages() + "SELECT size, clean, count(*) AS candidates, CAST(sum(tf) AS BIGINT) AS occurrences FROM candidates GROUP BY 1, 2",
+        "ngram_freq_by_size": stages(n=4) + "SELECT size, CAST(sum(tf) AS BIGINT) AS occurrences FROM candidates WHERE size > 1 GROUP BY 1",
+        "stopword_lookup": LISTS,
+        "supported_languages": "SELECT DISTINCT lower(left(lang, 2)) AS lang FROM stopwords WHERE lang IS NOT NULL",
+        "stopword_set_algebra": f"""WITH l AS ({LISTS})
+            SELECT * FROM (SELECT * FROM l WHERE lang <> 'de' UNION VALUES ('en', 'whilst'), ('en', 'amongst'), ('de', 'und'), ('de', 'oder'))
+            WHERE NOT (lang = 'en' AND word IN ('quite', 'often'))""",
+        "resolve_language": "SELECT DISTINCT id, coalesce(language, 'en') AS lang, lower(left(coalesce(language, 'en'), 2)) AS list FROM input_document",
+        "title_body": f"""SELECT DISTINCT id, CASE WHEN {TRIM_TITLE} <> '' THEN {TRIM_TITLE} || chr(10) || chr(10) ELSE '' END || coalesce(body, '') AS text FROM input_document""",
+        "sim_levenshtein": SIM_PAIRS + "SELECT a, b, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 9) AS likeness FROM pairs",
+        "sim_jaro": SIM_PAIRS + "SELECT a, b, round(jaro_similarity(a, b), 9) AS likeness FROM pairs",
+        "sim_seqm": SIM_PAIRS + "," + SEQM,
+        "trigrams": """WITH k AS (SELECT DISTINCT "normalizedKeyword" AS term FROM kaggle_excerpt WHERE regexp_full_match("normalizedKeyword", '[a-z ]+'))
+            SELECT DISTINCT term, unnest(list_transform(range(1, length(term) - 1), lambda i: substring(term, i, 3))) AS trigram FROM k""",
+        "tfidf": """WITH f AS (SELECT id AS doc, "normalizedKeyword" AS term, CAST(sum(coalesce(occurrences, 0)) AS BIGINT) AS tf
+                FROM (SELECT DISTINCT result_id, id, "normalizedKeyword", occurrences FROM kaggle_excerpt) WHERE "normalizedKeyword" IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2),
+            d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(DISTINCT doc) AS n FROM f)
+            SELECT doc, term, tf, df, round(tf * (ln((1 + n) / (1 + df)) + 1), 9) AS score FROM f JOIN d USING (term), n""",
+        "topk_overlap": RANKED + "SELECT doc, count(*) FILTER (long_rank <= 3) AS overlap FROM r WHERE rank <= 3 GROUP BY 1",
+        "precision_at_k": RANKED + """SELECT doc, count(*) FILTER ((doc, item) IN (SELECT (id, "normalizedKeyword") FROM kaggle_excerpt WHERE occurrences > 1)) / 3 AS precision FROM r WHERE rank <= 3 GROUP BY 1""",
+        "leading_prefix": RANKED + "SELECT doc, coalesce(min(rank) FILTER (rank <> long_rank), max(rank) + 1) - 1 AS matches FROM r GROUP BY 1",
+        "bio_decode": stages() + """, t AS (SELECT item_id, pos_text, word, CASE WHEN NOT regexp_matches(word, '^[A-Z]') THEN 'O' WHEN pos_text % 2 = 0 THEN 'B' ELSE 'I' END AS tag FROM tags),
+            s AS (SELECT *, tag = 'B' OR tag = 'I' AND lag(tag, 1, 'O') OVER (PARTITION BY item_id ORDER BY pos_text) = 'O' AS starts FROM t),
+            g AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY item_id ORDER BY pos_text) AS n FROM s)
+            SELECT item_id, min(pos_text) AS "begin", string_agg(word, ' ' ORDER BY pos_text) AS phrase FROM g WHERE tag <> 'O' GROUP BY item_id, n""",
+        "latency_percentiles": """SELECT event_type, count(value) AS n, round(sum(value), 2) AS total, round(avg(value), 6) AS mean,
+            round(quantile_disc(value, 0.5), 9) AS p50, round(quantile_disc(value, 0.95), 9) AS p95 FROM events GROUP BY 1""",
     }

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from keystrata.operators import frequency
+from keystrata.api import KeywordExtractor, compact_keywords
+from keystrata.functions import similarity, text
+from keystrata.functions.output import highlight_udf, stable_json_udf
+from keystrata.operators import frequency, metrics
+from keystrata.operators.keywords import Extraction, document_stats, documents, edges
+from keystrata.options import Options
+from keystrata.sources import stopwords
 from keystrata.sources.tables import table
 
 
@@ -19,5 +28,232 @@ def p2_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.term_frequencies(table(spark, folder, "kaggle_excerpt"))
 
 
+def lists(spark: SparkSession, folder: str) -> DataFrame:
+    return stopwords.load(table(spark, folder, "stopwords"))
+
+
+def items(spark: SparkSession, folder: str, **options) -> Extraction:
+    """The stages over the evaluation texts, which SQL can follow word for word."""
+    o = Options(language="en", **options)
+    return Extraction(documents(table(spark, folder, "eval_item"), "item_id", "text", None, options=o), lists(spark, folder), o)
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+def pre_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "input_document").select("id", text.pre_filter_column(F.col("body")).alias("filtered")).distinct()
+
+
+def tokenize(spark: SparkSession, folder: str) -> DataFrame:
+    t = items(spark, folder).tags
+    return t.select(F.col("doc").alias("item_id"), "sent", "pos_sent", "block", "pos_text", "word", "norm", "term")
+
+
+def token_tags(spark: SparkSession, folder: str) -> DataFrame:
+    return items(spark, folder).tags.select(F.col("doc").alias("item_id"), "pos_text", "word", "tag", "stop_form")
+
+
+def term_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return items(spark, folder).terms.select(
+        F.col("doc").alias("item_id"), "term", "tf", "tf_a", "tf_n", "stopword", "first_pos",
+        F.size("sentence_ids").alias("in_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
+    )
+
+
+def doc_term_stats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = document_stats(items(spark, folder).terms).drop("rid").withColumnRenamed("doc", "item_id")
+    return _round(rows, "avg_tf", "std_tf")
+
+
+def cooccurrence_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return items(spark, folder).edges.select(F.col("doc").alias("item_id"), "src", "dst", "weight")
+
+
+def cooccurrence_window2(spark: SparkSession, folder: str) -> DataFrame:
+    return edges(items(spark, folder).tags, 2).select(F.col("doc").alias("item_id"), "src", "dst", "weight")
+
+
+def graph_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    e = items(spark, folder)
+    return e.terms.join(e.metrics, ["rid", "term"]).select(F.col("doc").alias("item_id"), "term", "wdr", "wir", "wdl", "wil")
+
+
+def term_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = items(spark, folder).scores.select(F.col("doc").alias("item_id"), "term", "wrel", "wfreq", "wspread", "wcase", "wpos", "h")
+    return _round(rows, "wrel", "wfreq", "wspread", "wcase", "wpos", "h")
+
+
+def candidate_scores(spark: SparkSession, folder: str, **options) -> DataFrame:
+    rows = items(spark, folder, **options).candidates.where("clean")
+    return _round(rows.select(F.col("doc").alias("item_id"), "norm_kw", "kw", "size", "tf", "h"), "h")
+
+
+def candidate_scores_no_kpf(spark: SparkSession, folder: str) -> DataFrame:
+    return candidate_scores(spark, folder, features=("wrel", "wfreq", "wspread", "wcase", "wpos"))
+
+
+def candidate_scores_wfreq_only(spark: SparkSession, folder: str) -> DataFrame:
+    return candidate_scores(spark, folder, features=("wfreq",))
+
+
+def candidate_validity(spark: SparkSession, folder: str) -> DataFrame:
+    return items(spark, folder).candidates.groupBy("size", "clean").agg(F.count(F.lit(1)).alias("candidates"), F.sum("tf").alias("occurrences"))
+
+
+def ngram_freq_by_size(spark: SparkSession, folder: str) -> DataFrame:
+    return items(spark, folder, n=4).candidates.where("size > 1").groupBy("size").agg(F.sum("tf").alias("occurrences"))
+
+
+def stopword_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    return lists(spark, folder).select("lang", "word")
+
+
+def supported_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return stopwords.languages(lists(spark, folder))
+
+
+def stopword_set_algebra(spark: SparkSession, folder: str) -> DataFrame:
+    words = stopwords.edit(lists(spark, folder), "en-GB", add=["whilst", " Amongst "], remove=["quite", "often"])
+    return stopwords.edit(words, "de", replace=["und", "oder"]).select("lang", "word")
+
+
+def resolve_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(table(spark, folder, "input_document"))
+    return docs.select(F.col("doc").alias("id"), "lang", stopwords.language_key(F.col("lang")).alias("list")).distinct()
+
+
+def title_body(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(table(spark, folder, "input_document"), title="title")
+    return docs.select(F.col("doc").alias("id"), "text").distinct()
+
+
+def sim_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of keywords of one document that share the first of their places: plain ASCII, for SQL counts bytes."""
+    k = table(spark, folder, "kaggle_excerpt").where(r"normalizedKeyword rlike '^[a-z ]+$' AND sentenceIds[0] IS NOT NULL")
+    k = k.select("id", F.col("sentenceIds")[0].alias("s"), F.col("normalizedKeyword").alias("a")).distinct()
+    return k.join(k.withColumnRenamed("a", "b"), ["id", "s"]).where("a < b").select("a", "b").distinct()
+
+
+def sim_levenshtein(spark: SparkSession, folder: str) -> DataFrame:
+    d = similarity.levs_column(F.col("a"), F.col("b"))
+    return sim_pairs(spark, folder).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(d, 9).alias("likeness"))
+
+
+def sim_seqm(spark: SparkSession, folder: str) -> DataFrame:
+    return sim_pairs(spark, folder).select("a", "b", F.round(similarity.seqm_column(F.col("a"), F.col("b")), 9).alias("likeness"))
+
+
+def sim_jaro(spark: SparkSession, folder: str) -> DataFrame:
+    @F.pandas_udf(DoubleType())
+    def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity.jaro(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return sim_pairs(spark, folder).select("a", "b", F.round(jaro("a", "b"), 9).alias("likeness"))
+
+
+def trigrams(spark: SparkSession, folder: str) -> DataFrame:
+    k = table(spark, folder, "kaggle_excerpt").where("normalizedKeyword rlike '^[a-z ]+$'").select(F.col("normalizedKeyword").alias("term")).distinct()
+    return k.select("term", F.explode(similarity.trigrams(F.col("term"))).alias("trigram"))
+
+
+def tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    k = table(spark, folder, "kaggle_excerpt").where("normalizedKeyword IS NOT NULL AND id IS NOT NULL").dropDuplicates(["result_id"])
+    tf = k.groupBy(F.col("id").alias("doc"), F.col("normalizedKeyword").alias("term")).agg(F.sum(F.coalesce("occurrences", F.lit(0))).cast("long").alias("tf"))
+    return _round(metrics.tfidf(tf, frequency.count_records(tf, "doc")), "score")
+
+
+def _ranked(spark: SparkSession, folder: str) -> DataFrame:
+    k = table(spark, folder, "kaggle_excerpt").where("score IS NOT NULL AND normalizedKeyword IS NOT NULL")
+    k = k.groupBy(F.col("id").alias("doc"), F.col("normalizedKeyword").alias("item")).agg(F.min("score").alias("score"))
+    return k.selectExpr("doc", "item", "row_number() OVER (PARTITION BY doc ORDER BY score, item) AS rank", "row_number() OVER (PARTITION BY doc ORDER BY length(item) DESC, item) AS long_rank")
+
+
+def topk_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    k = _ranked(spark, folder)
+    return metrics.overlap_at_k(k.select("doc", "item", "rank"), k.select("doc", "item", F.col("long_rank").alias("rank")), 3)
+
+
+def precision_at_k(spark: SparkSession, folder: str) -> DataFrame:
+    gold = table(spark, folder, "kaggle_excerpt").where("occurrences > 1").select(F.col("id").alias("doc"), F.col("normalizedKeyword").alias("item"))
+    return metrics.precision_at_k(_ranked(spark, folder).select("doc", "item", "rank"), gold, 3)
+
+
+def leading_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    k = _ranked(spark, folder)
+    return metrics.leading_matches(k.select("doc", "item", "rank"), k.select("doc", "item", F.col("long_rank").alias("rank")))
+
+
+def bio_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of capitalized words of the evaluation texts as tagged phrases."""
+    t = items(spark, folder).tags.select("doc", F.col("pos_text").alias("pos"), "word", "block", "sent")
+    up = F.col("word").rlike("^[A-Z]")
+    t = t.withColumn("tag", F.when(up & (F.col("pos") % 2 == 0), "B").when(up, "I").otherwise("O"))
+    return metrics.bio_phrases(t).withColumnRenamed("doc", "item_id")
+
+
+def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    return _round(metrics.latency_summary(table(spark, folder, "events"), "value", "event_type"), "total", "mean", "p50", "p95").withColumn("total", F.round("total", 2)).withColumn("mean", F.round("mean", 6))
+
+
+def _extractor(spark: SparkSession, folder: str, **options) -> KeywordExtractor:
+    return KeywordExtractor(table(spark, folder, "stopwords"), **options)
+
+
+def _document_keywords(spark: SparkSession, folder: str, **options) -> DataFrame:
+    found = _extractor(spark, folder, **options).details(table(spark, folder, "documents"), id="doc_id", body="text", language="lang")
+    return found.withColumnRenamed("doc", "doc_id")
+
+
+def keywords_seqm(spark: SparkSession, folder: str) -> DataFrame:
+    return _document_keywords(spark, folder)
+
+
+def keywords_levs(spark: SparkSession, folder: str) -> DataFrame:
+    return _document_keywords(spark, folder, dedup_func="levs", dedup_lim=0.8, top=10)
+
+
+def keywords_jaro(spark: SparkSession, folder: str) -> DataFrame:
+    return _document_keywords(spark, folder, dedup_func="jaro", top=10)
+
+
+def topk_no_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _document_keywords(spark, folder, dedup_lim=1.0, n=2)
+
+
+def document_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Each delivered document once, with title, metadata and keywords."""
+    docs = table(spark, folder, "input_document").groupBy("id").agg(F.max_by(F.struct("body", "language", "title", "metadata"), "arrived_at").alias("d"))
+    return _extractor(spark, folder, top=5).results(docs.select("id", "d.*"), title="title", metadata="metadata")
+
+
+def stable_json(spark: SparkSession, folder: str) -> DataFrame:
+    rows = document_results(spark, folder)
+    return rows.select("id", stable_json_udf(F.struct("id", "language", "title", "keywords")).alias("json"))
+
+
+def highlight(spark: SparkSession, folder: str) -> DataFrame:
+    words = table(spark, folder, "kaggle_excerpt").groupBy("id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    docs = table(spark, folder, "input_document").select("id", "body").distinct()
+    return docs.join(words, "id", "left").select("id", highlight_udf("body", "keywords").alias("marked"))
+
+
+def compact(spark: SparkSession, folder: str) -> DataFrame:
+    return compact_keywords(table(spark, folder, "eval_item"), table(spark, folder, "stopwords"), id="item_id", body="text", language=None)
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return keywords_seqm(spark, folder).select("doc_id", "rank", "keyword", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_frequencies": p2_frequencies}
+    own = [
+        p2_found, p2_frequencies, pre_filter, tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges,
+        cooccurrence_window2, graph_metrics, term_scores, candidate_scores, candidate_scores_no_kpf,
+        candidate_scores_wfreq_only, candidate_validity, ngram_freq_by_size, stopword_lookup, supported_languages,
+        stopword_set_algebra, resolve_language, title_body, sim_levenshtein, sim_seqm, sim_jaro, trigrams, tfidf,
+        topk_overlap, precision_at_k, leading_prefix, bio_decode, latency_percentiles, keywords_seqm, keywords_levs,
+        keywords_jaro, topk_no_dedup, document_results, stable_json, highlight,
+    ]
+    return {f.__name__: f for f in own} | {"compact_keywords": compact}
