@@ -66,6 +66,7 @@ class LanguageModel:
                 centroids.append(c)
                 owner.append(k)
         self.owner = np.array(owner)
+        self.scripts = self._own_scripts(texts)
         self.centroids = np.ascontiguousarray(np.stack(centroids).T)  # by n-gram
         self.scores = lru_cache(20_000)(self._scores)
 
@@ -79,16 +80,32 @@ class LanguageModel:
 
     def _scores(self, text: str) -> np.ndarray:
         """The cosine with the nearest centroid of each language."""
-        ids = self.ids
-        counts = Counter(ids[g] for g in _grams(text).elements() if g in ids)
+        get, plain = self.ids.get, folded(text)
+        found = [k for n in range(1, GRAMS + 1) for i in range(len(plain) - n + 1) if (k := get(plain[i : i + n])) is not None]
         out = np.zeros(len(self.languages), dtype=np.float32)
-        if counts:
-            at = np.fromiter(counts, dtype=np.int64, count=len(counts))
-            w = (1 + np.log(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)))) * self.idf[at]
+        if found:
+            at, counts = np.unique(np.array(found), return_counts=True)
+            w = (1 + np.log(counts.astype(np.float32))) * self.idf[at]
             cosines = w @ self.centroids[at] / max(float(np.linalg.norm(w)), 1e-9)
             np.maximum.at(out, self.owner, cosines)
         return out
 
+    def _own_scripts(self, texts: dict[str, list[str]]) -> dict[int, str]:
+        """The scripts, by their block of 128 characters, that the texts of one language alone are written in."""
+        users: dict[int, Counter] = {}
+        for x, own in texts.items():
+            for c, n in Counter("".join(own)).items():
+                if c.isalpha() and ord(c) >= 0x370:
+                    users.setdefault(ord(c) >> 7, Counter())[x] += n
+        return {block: next(iter(n)) for block, n in users.items() if len(n) == 1}
+
+    def quick(self, piece: str) -> str | None:
+        """The language of a piece, by its last letters where their script is that of one language only."""
+        for c in reversed(piece):
+            if c >= "\u0370" and c.isalpha():
+                return self.scripts.get(ord(c) >> 7) or self.classify(piece)[0]
+        return self.classify(piece)[0]
+
     def classify(self, text: str) -> tuple[str | None, float]:
         """The language and the confidence, from 0 to 1; None if the text is too far from every centroid."""
         scores = self.scores(text)
