@@ -155,7 +155,6 @@ def oracle_sql() -> dict[str, str]:
         "resolve_language": "SELECT DISTINCT id, coalesce(language, 'en') AS lang, lower(left(coalesce(language, 'en'), 2)) AS list FROM input_document",
         "title_body": f"""SELECT DISTINCT id, CASE WHEN {TRIM_TITLE} <> '' THEN {TRIM_TITLE} || chr(10) || chr(10) ELSE '' END || coalesce(body, '') AS text FROM input_document""",
         "sim_levenshtein": SIM_PAIRS + "SELECT a, b, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 9) AS likeness FROM pairs",
-        "sim_jaro": SIM_PAIRS + "SELECT a, b, round(jaro_similarity(a, b), 9) AS likeness FROM pairs",
         "sim_seqm": SIM_PAIRS + "," + SEQM,
         "trigrams": """WITH k AS (SELECT DISTINCT "normalizedKeyword" AS term FROM kaggle_excerpt WHERE regexp_full_match("normalizedKeyword", '[a-z ]+'))
             SELECT DISTINCT term, unnest(list_transform(range(1, length(term) - 1), lambda i: substring(term, i, 3))) AS trigram FROM k""",
