@@ -110,7 +110,7 @@ class LanguageModel:
         """The language and the confidence, from 0 to 1; None if the text is too far from every centroid."""
         scores = self.scores(text)
         best = int(scores.argmax())
-        if scores[best] < REJECT:
+        if scores[best] < REJECT or not folded(text).strip():
             return None, 0.0
         rest = float(np.delete(scores, best).max()) if len(scores) > 1 else 0.0
         return self.languages[best], float(1 - rest / scores[best])
