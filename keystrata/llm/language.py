@@ -208,6 +208,4 @@ def language_segments(df: DataFrame, corpus: DataFrame, key: str = "id", text: s
 def mislabelled(segments: DataFrame) -> DataFrame:
     """Of language_segments' rows, those of texts whose label is missing or names another language, or that are mixed."""
     said = F.lower(F.substring(F.trim("label"), 1, 2))
-    return segments.where("label IS NULL OR segments > 1").unionByName(
-        segments.where((F.col("segments") == 1) & F.col("label").isNotNull() & ~said.eqNullSafe(F.col("lang")))
-    )
+    return segments.where(F.col("label").isNull() | (F.col("segments") > 1) | ~said.eqNullSafe(F.col("lang")))
