@@ -1,7 +1,7 @@
 """Keyword extraction as DataFrames, one for each stage: tokens, terms, edges, n-grams, candidates, keywords.
 
-All documents go through together. Tagged tokens are spread by document once; every later aggregate, window and join
-keeps that partitioning, and the stages that read tokens reuse that one exchange.
+All documents go through together. Tagged tokens are made once, spread by document, and kept for the stages that read
+them.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def tagged(toks: DataFrame, stopwords: DataFrame, lemmatize: Callable[[Column],
         listed = stopwords.select(F.col("lang").alias("key"), F.col("word").alias(form), F.lit(True).alias(f"in_{form}")).distinct()
         rows = rows.join(listed, ["key", form], "left")
     stop = F.coalesce("in_norm", "in_term", text.stripped_length(F.col("term")) < 3)
-    return rows.withColumn("stop_form", stop).drop("key", "in_norm", "in_term").repartition("rid")
+    return rows.withColumn("stop_form", stop).drop("key", "in_norm", "in_term").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
 
 
 def terms(tags: DataFrame) -> DataFrame:
@@ -278,7 +279,8 @@ class Extraction:
 
     def __init__(self, docs: DataFrame, stopwords: DataFrame, options: Options = Options(), splitter=text.sentence_tokens, lemmatize=None, normalize=None, similar=None, keep=None) -> None:
         self.options = options
-        self.tags = tagged(tokens(docs, splitter), stopwords, lemmatize, normalize)
+        # five stages read the tagged tokens: kept with their partitioning, in memory or on disk, and made again if lost
+        self.tags = tagged(tokens(docs, splitter), stopwords, lemmatize, normalize).persist(StorageLevel.MEMORY_AND_DISK)
         self.terms = terms(self.tags)
         self.edges = edges(self.tags, options.window)
         self.metrics = graph_metrics(self.edges)
@@ -287,5 +289,10 @@ class Extraction:
         kept = self.candidates.where(keep) if keep is not None else self.candidates
         self.keywords = keywords(kept, options, similar)
 
+    def close(self) -> None:
+        """Give the tagged tokens up."""
+        self.tags.unpersist()
+
     def detailed(self) -> DataFrame:
+        """keywords with the sentences of their words."""
         return with_sentences(self.keywords, self.tags, self.terms)
