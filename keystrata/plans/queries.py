@@ -19,6 +19,9 @@ from keystrata.sources import stopwords
 from keystrata.sources.tables import table
 
 
+Stages = Callable[..., Extraction]
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "kaggle_excerpt")
     return frequency.mark_terms(frequency.term_frequencies(rows), frequency.count_records(rows))
@@ -38,6 +41,12 @@ def items(spark: SparkSession, folder: str, **options) -> Extraction:
     return Extraction(documents(table(spark, folder, "eval_item"), "item_id", "text", None, options=o), lists(spark, folder), o)
 
 
+def corpus(spark: SparkSession, folder: str, **options) -> Extraction:
+    """The stages over all documents, each in its own language."""
+    o = Options(**options)
+    return Extraction(documents(table(spark, folder, "documents"), "doc_id", "text", "lang", options=o), lists(spark, folder), o)
+
+
 def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
@@ -46,64 +55,64 @@ def pre_filter(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "input_document").select("id", text.pre_filter_column(F.col("body")).alias("filtered")).distinct()
 
 
-def tokenize(spark: SparkSession, folder: str) -> DataFrame:
-    t = items(spark, folder).tags
+def tokenize(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    t = over(spark, folder).tags
     return t.select(F.col("doc").alias("item_id"), "sent", "pos_sent", "block", "pos_text", "word", "norm", "term")
 
 
-def token_tags(spark: SparkSession, folder: str) -> DataFrame:
-    return items(spark, folder).tags.select(F.col("doc").alias("item_id"), "pos_text", "word", "tag", "stop_form")
+def token_tags(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    return over(spark, folder).tags.select(F.col("doc").alias("item_id"), "pos_text", "word", "tag", "stop_form")
 
 
-def term_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return items(spark, folder).terms.select(
+def term_frequency(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    return over(spark, folder).terms.select(
         F.col("doc").alias("item_id"), "term", "tf", "tf_a", "tf_n", "stopword", "first_pos",
         F.size("sentence_ids").alias("in_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
     )
 
 
-def doc_term_stats(spark: SparkSession, folder: str) -> DataFrame:
-    rows = document_stats(items(spark, folder).terms).drop("rid").withColumnRenamed("doc", "item_id")
+def doc_term_stats(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    rows = document_stats(over(spark, folder).terms).drop("rid").withColumnRenamed("doc", "item_id")
     return _round(rows, "avg_tf", "std_tf")
 
 
-def cooccurrence_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return items(spark, folder).edges.select(F.col("doc").alias("item_id"), "src", "dst", "weight")
+def cooccurrence_edges(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    return over(spark, folder).edges.select(F.col("doc").alias("item_id"), "src", "dst", "weight")
 
 
-def cooccurrence_window2(spark: SparkSession, folder: str) -> DataFrame:
-    return edges(items(spark, folder).tags, 2).select(F.col("doc").alias("item_id"), "src", "dst", "weight")
+def cooccurrence_window2(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    return edges(over(spark, folder).tags, 2).select(F.col("doc").alias("item_id"), "src", "dst", "weight")
 
 
-def graph_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    e = items(spark, folder)
+def graph_metrics(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    e = over(spark, folder)
     return e.terms.join(e.metrics, ["rid", "term"]).select(F.col("doc").alias("item_id"), "term", "wdr", "wir", "wdl", "wil")
 
 
-def term_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = items(spark, folder).scores.select(F.col("doc").alias("item_id"), "term", "wrel", "wfreq", "wspread", "wcase", "wpos", "h")
+def term_scores(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    rows = over(spark, folder).scores.select(F.col("doc").alias("item_id"), "term", "wrel", "wfreq", "wspread", "wcase", "wpos", "h")
     return _round(rows, "wrel", "wfreq", "wspread", "wcase", "wpos", "h")
 
 
-def candidate_scores(spark: SparkSession, folder: str, **options) -> DataFrame:
-    rows = items(spark, folder, **options).candidates.where("clean")
+def candidate_scores(spark: SparkSession, folder: str, over: Stages = items, **options) -> DataFrame:
+    rows = over(spark, folder, **options).candidates.where("clean")
     return _round(rows.select(F.col("doc").alias("item_id"), "norm_kw", "kw", "size", "tf", "h"), "h")
 
 
-def candidate_scores_no_kpf(spark: SparkSession, folder: str) -> DataFrame:
-    return candidate_scores(spark, folder, features=("wrel", "wfreq", "wspread", "wcase", "wpos"))
+def candidate_scores_no_kpf(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    return candidate_scores(spark, folder, over, features=("wrel", "wfreq", "wspread", "wcase", "wpos"))
 
 
-def candidate_scores_wfreq_only(spark: SparkSession, folder: str) -> DataFrame:
-    return candidate_scores(spark, folder, features=("wfreq",))
+def candidate_scores_wfreq_only(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    return candidate_scores(spark, folder, over, features=("wfreq",))
 
 
-def candidate_validity(spark: SparkSession, folder: str) -> DataFrame:
-    return items(spark, folder).candidates.groupBy("size", "clean").agg(F.count(F.lit(1)).alias("candidates"), F.sum("tf").alias("occurrences"))
+def candidate_validity(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    return over(spark, folder).candidates.groupBy("size", "clean").agg(F.count(F.lit(1)).alias("candidates"), F.sum("tf").alias("occurrences"))
 
 
-def ngram_freq_by_size(spark: SparkSession, folder: str) -> DataFrame:
-    return items(spark, folder, n=4).candidates.where("size > 1").groupBy("size").agg(F.sum("tf").alias("occurrences"))
+def ngram_freq_by_size(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    return over(spark, folder, n=4).candidates.where("size > 1").groupBy("size").agg(F.sum("tf").alias("occurrences"))
 
 
 def stopword_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,9 +194,9 @@ def leading_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.leading_matches(k.select("doc", "item", "rank"), k.select("doc", "item", F.col("long_rank").alias("rank")))
 
 
-def bio_decode(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs of capitalized words of the evaluation texts as tagged phrases."""
-    t = items(spark, folder).tags.select("doc", F.col("pos_text").alias("pos"), "word", "block", "sent")
+def bio_decode(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
+    """Runs of capitalized words as tagged phrases."""
+    t = over(spark, folder).tags.select("doc", F.col("pos_text").alias("pos"), "word", "block", "sent")
     up = F.col("word").rlike("^[A-Z]")
     t = t.withColumn("tag", F.when(up & (F.col("pos") % 2 == 0), "B").when(up, "I").otherwise("O"))
     return metrics.bio_phrases(t).withColumnRenamed("doc", "item_id")
@@ -240,13 +249,18 @@ def highlight(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, folder: str) -> DataFrame:
-    return compact_keywords(table(spark, folder, "eval_item"), table(spark, folder, "stopwords"), id="item_id", body="text", language=None)
+    return compact_keywords(table(spark, folder, "documents"), table(spark, folder, "stopwords"), id="doc_id", body="text", language=None)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return keywords_seqm(spark, folder).select("doc_id", "rank", "keyword", "score")
 
 
+def of_documents(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of the stages over all documents. It has no SQL, which can't follow the splitting of any text."""
+    return lambda spark, folder: query(spark, folder, corpus).withColumnRenamed("item_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         p2_found, p2_frequencies, pre_filter, tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges,
@@ -256,4 +270,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         topk_overlap, precision_at_k, leading_prefix, bio_decode, latency_percentiles, keywords_seqm, keywords_levs,
         keywords_jaro, topk_no_dedup, document_results, stable_json, highlight,
     ]
-    return {f.__name__: f for f in own} | {"compact_keywords": compact}
+    stages = [
+        tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges, cooccurrence_window2, graph_metrics,
+        term_scores, candidate_scores, candidate_scores_no_kpf, candidate_scores_wfreq_only, candidate_validity,
+        ngram_freq_by_size, bio_decode,
+    ]
+    whole = {f"{f.__name__}_documents": of_documents(f) for f in stages}
+    return {f.__name__: f for f in own} | {"compact_keywords": compact} | whole
