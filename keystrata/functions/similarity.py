@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from keystrata.functions.text import SPACE
+
+#: A word of a phrase, kinds of space being what parts words elsewhere.
+WORD = f"[^{SPACE}]+"
+_WORD = re.compile(WORD)
+
 
 def levenshtein(a: str, b: str) -> int:
     if len(a) < len(b):
@@ -48,7 +55,7 @@ def jaro(a: str, b: str) -> float:
 @lru_cache(100_000)
 def _parts(s: str) -> tuple[int, frozenset, tuple, frozenset, frozenset, int]:
     low = s.lower()
-    words = tuple(low.split())
+    words = tuple(_WORD.findall(low))
     return len(s), frozenset(low), words, frozenset(words), frozenset(low[i : i + 3] for i in range(len(low) - 2)), s.count(" ")
 
 
@@ -107,8 +114,9 @@ def seqm_column(a: Column, b: Column) -> Column:
     heads = (shortest >= 3) & (F.lower(F.substring(a, 1, 2)) != F.lower(F.substring(b, 1, 2)))
     ratio = shortest / F.greatest(longest, F.lit(1))
     ca, cb = (F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("(?s)."), F.lit(0))) for x in (a, b))
-    wa, wb = (F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\S+"), F.lit(0))) for x in (a, b))
-    many = (F.size(F.split(F.trim(a), r"\s+")) > 1) | (F.size(F.split(F.trim(b), r"\s+")) > 1)
+    wa, wb = (F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)) for x in (a, b))
+    many = (F.size(wa) > 1) | (F.size(wb) > 1)
+    wa, wb = F.array_distinct(wa), F.array_distinct(wb)
     chars, words, grams = _share(ca, cb), _share(wa, wb), _share(trigrams(F.lower(a)), trigrams(F.lower(b)))
     return (
         F.when(a == b, F.lit(1.0))

@@ -138,20 +138,24 @@ def title_body(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.col("doc").alias("id"), "text").distinct()
 
 
-def sim_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of keywords of one document that share the first of their places: plain ASCII, for SQL counts bytes."""
-    k = table(spark, folder, "kaggle_excerpt").where(r"normalizedKeyword rlike '^[a-z ]+$' AND sentenceIds[0] IS NOT NULL")
+PLAIN = "normalizedKeyword rlike '^[a-z ]+$'"
+
+
+def sim_pairs(spark: SparkSession, folder: str, among: str = "true") -> DataFrame:
+    """Pairs of keywords of one document that share the first of their places."""
+    k = table(spark, folder, "kaggle_excerpt").where(among).where("normalizedKeyword IS NOT NULL AND sentenceIds[0] IS NOT NULL")
     k = k.select("id", F.col("sentenceIds")[0].alias("s"), F.col("normalizedKeyword").alias("a")).distinct()
     return k.join(k.withColumnRenamed("a", "b"), ["id", "s"]).where("a < b").select("a", "b").distinct()
 
 
-def sim_levenshtein(spark: SparkSession, folder: str) -> DataFrame:
+def sim_levenshtein(spark: SparkSession, folder: str, among: str = PLAIN) -> DataFrame:
+    """Of plain ASCII keywords, as SQL counts bytes; sim_levenshtein_all is over all of them."""
     d = similarity.levs_column(F.col("a"), F.col("b"))
-    return sim_pairs(spark, folder).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(d, 9).alias("likeness"))
+    return sim_pairs(spark, folder, among).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(d, 9).alias("likeness"))
 
 
-def sim_seqm(spark: SparkSession, folder: str) -> DataFrame:
-    return sim_pairs(spark, folder).select("a", "b", F.round(similarity.seqm_column(F.col("a"), F.col("b")), 9).alias("likeness"))
+def sim_seqm(spark: SparkSession, folder: str, among: str = PLAIN) -> DataFrame:
+    return sim_pairs(spark, folder, among).select("a", "b", F.round(similarity.seqm_column(F.col("a"), F.col("b")), 9).alias("likeness"))
 
 
 def sim_jaro(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,8 +166,8 @@ def sim_jaro(spark: SparkSession, folder: str) -> DataFrame:
     return sim_pairs(spark, folder).select("a", "b", F.round(jaro("a", "b"), 9).alias("likeness"))
 
 
-def trigrams(spark: SparkSession, folder: str) -> DataFrame:
-    k = table(spark, folder, "kaggle_excerpt").where("normalizedKeyword rlike '^[a-z ]+$'").select(F.col("normalizedKeyword").alias("term")).distinct()
+def trigrams(spark: SparkSession, folder: str, among: str = PLAIN) -> DataFrame:
+    k = table(spark, folder, "kaggle_excerpt").where(among).select(F.col("normalizedKeyword").alias("term")).distinct()
     return k.select("term", F.explode(similarity.trigrams(F.col("term"))).alias("trigram"))
 
 
@@ -261,6 +265,11 @@ def of_documents(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, folder: query(spark, folder, corpus).withColumnRenamed("item_id", "doc_id")
 
 
+def of_all_keywords(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of keywords over those of any script, case and sign. It has no SQL."""
+    return lambda spark, folder: query(spark, folder, "true")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         p2_found, p2_frequencies, pre_filter, tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges,
@@ -276,4 +285,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ngram_freq_by_size, bio_decode,
     ]
     whole = {f"{f.__name__}_documents": of_documents(f) for f in stages}
+    whole |= {f"{f.__name__}_all": of_all_keywords(f) for f in (sim_levenshtein, sim_seqm, trigrams)}
     return {f.__name__: f for f in own} | {"compact_keywords": compact} | whole

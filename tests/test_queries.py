@@ -126,3 +126,24 @@ def test_scores_of_documents(spark, folder, brute):
 
 def test_compact_keywords_of_documents(spark, folder):
     assert {1, 2, 3, 9} <= {r[0] for r in rows(spark, folder, "compact_keywords")}
+
+
+KEYWORDS = ["größe", "grosse", "naïve bayes", "naïve bayes net", "naïve\xa0bayes net", "Covid-19", "covid 19", "архив ночи", "архив ночью", "水位記録", "水位記事", "😀😀x", "😀y", "", "ab", "p﻿ort a", "plain words", "plain wards"]
+
+
+def test_similarities_of_all_keywords(spark, tmp_path):
+    from keystrata.functions.similarity import jaro, levenshtein, levs, seqm
+
+    rows_of = [("d", k, [0, 2]) for k in [*KEYWORDS, KEYWORDS[0]]] + [("d", None, [0]), ("d", "elsewhere", [1]), ("e", "größe", [0]), ("e", "größen", None)]
+    spark.createDataFrame(rows_of, "id string, normalizedKeyword string, sentenceIds array<int>").write.parquet(f"{tmp_path}/kaggle_excerpt.parquet")
+    want = [tuple(sorted((a, b), key=str.encode)) for i, a in enumerate(KEYWORDS) for b in KEYWORDS[i + 1 :]]
+    close = lambda f: sorted((a, b, pytest.approx(f(a, b), abs=2e-9)) for a, b in want)
+    assert sorted(rows(spark, tmp_path, "sim_jaro")) == close(jaro)
+    assert sorted(rows(spark, tmp_path, "sim_seqm_all")) == close(seqm)
+    found = rows(spark, tmp_path, "sim_levenshtein_all")
+    assert sorted(r[:2] + r[3:] for r in found) == close(levs) and all(r[2] == levenshtein(*r[:2]) for r in found)
+    assert seqm("naïve bayes net", "naïve\xa0bayes net") == 1.0
+    terms = {*KEYWORDS, "elsewhere", "größen"}
+    assert sorted(rows(spark, tmp_path, "trigrams_all")) == sorted({(t, t[i : i + 3]) for t in terms for i in range(len(t) - 2)})
+    plain = {"grosse", "ab", "plain words", "plain wards"}
+    assert {r[:2] for r in rows(spark, tmp_path, "sim_seqm")} == {p for p in want if set(p) <= plain}
