@@ -116,6 +116,13 @@ def test_repair_round_trip(text, wrong, meant):
         assert Repairer(CLEAN).repair(garbled)[0] == text
 
 
+@pytest.mark.parametrize("language, text, wrong, meant", [("pl", "być", "cp1252", "utf-8"), ("pl", "być", "cp1252", "cp1250"), ("pl", "Pamięć łączy dzień i noc", "cp1252", "cp1250"), ("pl", "PAMIĘĆ", "cp1252", "cp1250"), ("it", "può", "cp1252", "utf-8"), ("lt", "žmonę", "cp1252", "cp1257"), ("lt", "mažę", "cp1252", "utf-8")])
+def test_letters_that_training_texts_lack(language, text, wrong, meant):
+    texts = CLEAN | {"pl": ["Łódź wąska, żółta próba jest tu. Kto łączy mosty i śnieg?"], "it": ["La città è già lì."]}
+    garbled = text.encode(meant).decode(wrong)
+    assert Repairer(texts).repair(garbled, language)[0] == text and Repairer(texts).repair(text, language) == (text, [])
+
+
 def test_repair_leaves_clean_text(spark):
     from keystrata.llm.encoding import repaired
 
