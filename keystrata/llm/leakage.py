@@ -15,6 +15,8 @@ from keystrata.session import materialize
 WORD = r"[\p{L}\p{N}]+"
 #: Rows up to which a table of a few numbers a row, or of single words, is broadcast: about 16 MB. Beyond it, joins shuffle.
 BROADCAST_ROWS = 250_000
+#: Of an item's looked-up places, those that a proximity match is sure to have: more make for fewer bands to count out.
+SURE = 4
 
 
 def words(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -40,8 +42,7 @@ class LeakIndex:
         asked = items.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull())
         asked = asked.dropDuplicates().withColumn("v", F.xxhash64("item", "text"))
         of_items = words(asked, ["item", "v"], "text")
-        length = Window.partitionBy("v")
-        of_items = of_items.withColumn("n", F.count(F.lit(1)).over(length)).where(F.col("n") >= run)
+        of_items = of_items.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("v")))
         self.item_words = materialize(of_items.withColumn("w", F.xxhash64("word")), "item-words")
         vocabulary = _small(self.item_words.select("word", "w").distinct())
         texts = corpus.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
@@ -73,14 +74,33 @@ class LeakIndex:
         runs = runs.groupBy("item", "v", "doc", "t", "diag", "island").agg(F.count(F.lit(1)).alias("words"))
         return runs.where(F.col("words") >= self.run).groupBy("doc", "item").agg(F.max("words").alias("words"))
 
+    def rarest(self, share: float) -> DataFrame:
+        """(v, off, w, least): an item's rarest places, and how many of them a match of this share must have at least.
+
+        A match lacks at most m of an item's places, so it has all but m of any: of the m + SURE rarest, SURE.
+        """
+        counts = self.postings.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+        places = self.item_words.select("v", "n", F.col("pos").alias("off"), "w").distinct().join(_small(counts), "w", "left")
+        lacking = F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9)
+        order = Window.partitionBy("v").orderBy(F.coalesce("df", F.lit(0)), "off")
+        places = places.withColumn("k", F.row_number().over(order)).where(F.col("k") <= lacking + SURE)
+        return places.select("v", "off", "w", (F.least(lacking + SURE, F.col("n")) - lacking).alias("least"))
+
     def near(self, share: float = 0.8, slack: int = 3) -> DataFrame:
         """(doc, item, share): documents that hold this share of an item's words in its order, about their distances.
 
-        Words may be missing or put in: places that differ by up to `slack` from a looked-up window's still count.
+        Words may be missing or put in: places that differ by up to `slack` from one another still count. Items of any
+        length are looked for.
         """
-        found = self.matches().select("item", "v", "n", "doc", "t", "off", F.explode(F.sequence(F.col("diag") - slack, F.col("diag"))).alias("band"))
-        bands = found.groupBy("item", "v", "doc", "t", "band").agg((F.count_distinct("off") / F.first("n")).alias("share"))
-        return bands.where(F.col("share") >= share).groupBy("doc", "item").agg(F.max("share").alias("share"))
+        band = F.explode(F.sequence(F.col("pos") - F.col("off") - slack, F.col("pos") - F.col("off"))).alias("band")
+        hits = self.postings.join(_small(self.rarest(share)), "w").select("v", "doc", "t", "off", "least", band)
+        bands = hits.groupBy("v", "doc", "t", "band").agg(F.count_distinct("off").alias("k"), F.first("least").alias("least"))
+        bands = materialize(bands.where("k >= least").select("v", "doc", "t", "band"), "bands")
+        near = self.postings.join(_small(bands.select("doc", "t").distinct()), ["doc", "t"], "left_semi")
+        wanted = bands.join(_small(self.item_words.select("item", "v", "n", F.col("pos").alias("off"), "w")), "v")
+        wanted = wanted.withColumn("pos", F.explode(F.sequence(F.col("band") + F.col("off"), F.col("band") + F.col("off") + slack)))
+        found = wanted.join(near, ["doc", "t", "pos", "w"]).groupBy("item", "v", "doc", "t", "band").agg((F.count_distinct("off") / F.first("n")).alias("share"))
+        return found.where(F.col("share") >= share - 1e-9).groupBy("doc", "item").agg(F.max("share").alias("share"))
 
 
 def leaked_items(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", run: int = 15) -> DataFrame:

@@ -52,6 +52,41 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaked_items(d.limit(0), i).count() == 0 and leakage.leaked_items(d, i.limit(0)).count() == 0
 
 
+def nearby(docs, items, share, slack):
+    words = lambda t: [w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", t or "")]
+    out = {}
+    for d, t in docs:
+        for k, s in items:
+            held, want, bands = words(t), words(s), {}
+            for off, w in enumerate(want):
+                for pos in (i for i, x in enumerate(held) if x == w):
+                    for b in range(pos - off - slack, pos - off + 1):
+                        bands.setdefault(b, set()).add(off)
+            best = max(map(len, bands.values()), default=0)
+            if d is not None and k is not None and want and best >= share * len(want) - 1e-9:
+                out[d, k] = max(best / len(want), out.get((d, k), 0))
+    return out
+
+
+def test_near_equals_brute_force(spark):
+    rng = random.Random(5)
+    text = lambda n, of="a b c d e f g h i j k l m n o p q r s t".split(): [rng.choice(of) for _ in range(n)]
+    items = [(i, text(rng.randrange(1, 45))) for i in range(30)] + [(30, [f"u{i}" for i in range(20)]), (31, ["a", "b"] * 10), (None, text(20))]
+    docs = [(900, text(300)), (901, []), (902, ["a"] * 400)]
+    for i, w in items[:31]:
+        for k in range(4):
+            changed = list(w)
+            for _ in range(k * max(len(w) // 12, 1)):
+                at = rng.randrange(len(changed) + 1)
+                changed[at : at + rng.choice((0, 1))] = [f"new{rng.randrange(99)}"] * rng.choice((0, 1))
+            docs.append((100 * k + i, text(5) + changed + text(5)))
+    docs, items = ([(k, " ".join(w)) for k, w in x] for x in (docs, items))
+    d, i = spark.createDataFrame([*docs, (903, None), (None, items[0][1])], "doc_id long, text string"), spark.createDataFrame([*items, (40, ""), (41, None)], "item_id long, text string")
+    for share, slack in ((0.8, 3), (0.5, 0)):
+        found = {(r["doc"], r["item"]): r["share"] for r in leakage.LeakIndex(d, i).near(share, slack).collect()}
+        assert found == pytest.approx(nearby(docs, items, share, slack))
+
+
 def shared(docs, least):
     out = set()
     for x, (a, s) in enumerate(docs):
