@@ -37,6 +37,8 @@ SPACED, UNSPACED, CASELESS = ("th",), ("ja", "th", "zh"), ("ar", "hi", "ja", "th
 #: Log-likelihood from which a word counts as an abbreviation, a starter or a word that goes on after a quotation, and
 #: the share of its places that it must take there. Entries of the model at most, as it is sent to every worker.
 ABBREVIATION, COLLOCATION, STARTER, SHARE, MAX_ENTRIES = 0.3, 7.88, 30.0, 0.8, 1_000_000
+#: Characters of a paragraph that are judged together for their language, and those that may be left for a last piece.
+PIECE, TAIL = 400, 110
 PARAGRAPH = re.compile(r"\r?\n[^\S\r\n]*(?:\r?\n\s*)+")
 STOP_RUN = re.compile(rf"[{re.escape(STOPS)}]+|(?<=[Ͱ-Ͽἀ-῿]);|;")
 LETTERS = r"[\p{L}\p{M}\p{N}]+"
@@ -384,6 +386,21 @@ def _language_of(languages):
     return of
 
 
+def language_runs(text: str, of) -> list[tuple[int, int, str]]:
+    """(begin, end, language): a paragraph in stretches of one language, judged in pieces of PIECE characters or a stop more."""
+    cuts = [0]
+    if len(text) > PIECE:
+        for _, _, end, _ in Places(text).places:
+            if end - cuts[-1] >= PIECE and len(text) - end >= TAIL:
+                cuts.append(end)
+    out: list[tuple[int, int, str]] = []
+    for b, e in zip(cuts, [*cuts[1:], len(text)]):
+        if e > b:
+            language = of(text[b:e])
+            out.append((out.pop()[0] if out and out[-1][2] == language else b, e, language))
+    return out
+
+
 def learn_boundaries(texts: DataFrame, training: dict[str, list[str]], text: str = "t") -> BoundaryModel:
     """The model of a table of texts, from the counts of all of them. Counts stay distributed; what passes the tests is collected."""
     shared = texts.sparkSession.sparkContext.broadcast(training)
@@ -394,9 +411,8 @@ def learn_boundaries(texts: DataFrame, training: dict[str, list[str]], text: str
             counts: Counter = Counter()
             for t in batch[text]:
                 for begin, end in paragraphs(t):
-                    if end > begin:
-                        language = of(t[begin:end][:400])
-                        for (kind, word), n in count_features(t[begin:end], language).items():
+                    for b, e, language in language_runs(t[begin:end], of):
+                        for (kind, word), n in count_features(t[begin + b : begin + e], language).items():
                             counts[language, kind, word] += n
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["language", "kind", "word", "n"])
 

@@ -69,6 +69,20 @@ def test_marks_in_great_number_take_linear_time():
     assert list(paragraphs("a\r\n\r\nb"))[1] == (5, 6)
 
 
+def test_counts_go_to_the_language_they_are_in(spark, labelled):
+    from keystrata.llm.language import language_model
+    from keystrata.llm.sentences import _language_of, language_runs, learn_boundaries
+
+    en, fr, ru = (" ".join(labelled[x]).replace("\n", " ") for x in ("en", "fr", "ru"))
+    text = f"{en[:900]}. {fr} {ru}"
+    runs = language_runs(text, _language_of(language_model(labelled)))
+    assert [x for _, _, x in runs] == ["en", "fr", "ru"] and runs[0][0] == 0 and runs[-1][1] == len(text)
+    assert all(x[1] == y[0] for x, y in zip(runs, runs[1:]))
+    texts = spark.createDataFrame([(f"{en[:900]}. {fr} " + "Le plan zq. grand. " * 40,)], "t string")
+    found = learn_boundaries(texts, labelled).parts["abbreviation"]
+    assert "zq" in found["fr"] and "zq" not in found["en"]
+
+
 def test_tables_with_nulls_repeats_and_clashes(spark, labelled):
     corpus = spark.createDataFrame([(k, t, "x") for k, v in labelled.items() for t in v], "language string, text string, id string")
     en, fr = labelled["en"][0], labelled["fr"][0]
