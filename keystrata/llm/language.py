@@ -1,16 +1,17 @@
 """The language of a document and of each of its single-language segments.
 
-A text becomes a normalised TF-IDF vector of its character n-grams. Each language of a labelled table has several
-centroids, found by clustering its texts; the nearest centroid by cosine names the language, and a text too far from
-all of them is rejected. The confidence is the lead over the nearest centroid of any other language.
+A text becomes a normalised TF-IDF vector of its n-grams: those of 1 to 4 characters within words, and whole words. Each
+language of a labelled table has several centroids, found by clustering texts; the nearest centroid by cosine names the
+language, and a text too far from all of them is rejected. The confidence is the lead over the nearest centroid of any
+other language. The sentences of a document are decided together: a change of language costs, so that a sentence of
+names, or of words that two languages share, goes with its neighbours.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -20,12 +21,21 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.lookalikes import skeleton_letters
 
-#: n-grams of 1 to GRAMS characters; centroids for each language; cosine below which a text is rejected; lead below
-#: which the rest of the document decides.
-GRAMS, CENTROIDS, REJECT, UNSURE = 4, 3, 0.05, 0.12
-NOT_WORD = re.compile(r"[\W\d_]+")
-WORDS = re.compile(r"[^\W\d_]+")
+#: n-grams of 1 to GRAMS characters, hashed into SIZE places; centroids for each language; cosine below which a text is rejected.
+#: Share of a language's texts that a cluster has at least.
+GRAMS, SIZE, CENTROIDS, REJECT, LEAST_SHARE = 4, 1 << 17, 3, 0.05, 0.15
+#: What a change of language costs, in letters whose language is beyond doubt, and letters of a sentence that count at most.
+SWITCH, LONG = 5.0, 60
+#: The bounded sample of labelled documents that centroids are fitted on beside the labelled table: rows of a language,
+#: chosen by hash of their key, and their characters (longer ones aren't sampled); rounds of fitting; the lead that a
+#: text's label must have over the whole text, and that from which a sentence of it counts as another language.
+FIT_ROWS, FIT_CHARS, FIT_ROUNDS, OWN_LEAD, OTHER_LEAD = 300, 20_000, 2, 0.12, 0.5
+#: Tokens whose sums a worker keeps, which bounds memory.
+KEPT_TOKENS = 100_000
+WORD = re.compile(r"[^\W\d_]+")
 LATIN_WORD = re.compile(r"[A-Za-z’'\-]+\.?")
+ROUGH_END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？।])|\n+")
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(1)
@@ -33,131 +43,297 @@ def _letters() -> dict[int, str | None]:
     return skeleton_letters()
 
 
-def folded(text: str) -> str:
-    """Lower case words of plain letters, parted by single blanks, so that disguised letters count as what they look like."""
-    # in a text of another script, Latin words are names
+def folded_words(token: str) -> list[str]:
+    """Lower-case words of plain letters, so that disguised letters count as what they look like."""
+    if not token.isascii():
+        token = unicodedata.normalize("NFC", token.translate(_letters()))
+    return WORD.findall(token.lower())
+
+
+def _unspaced(points: np.ndarray) -> np.ndarray:
+    return (points >= 0x0E00) & (points <= 0x0E7F) | (points >= 0x3040) & (points <= 0x9FFF)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, word) for the n-grams of each length, and for whole words; word is the place in the list, ascending.
+
+    Words begin and end with a blank. A word of a script without blanks counts by its n-grams alone.
+    """
+    if not words:
+        return []
+    text = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
+    n, blank = len(text), text == 0x20
+    owner = np.cumsum(blank) - 1  # of a blank, the word after it
+    codes = _mixed(text.astype(np.uint64) + np.uint64(1))
+    out, h = [], np.zeros(n, dtype=np.uint64)
+    for size in range(1, GRAMS + 1):
+        h = (h[: n - size + 1] if size > 1 else h) * np.uint64(0x100000001B3) + codes[size - 1 :]
+        inner = np.concatenate([[0], np.cumsum(blank)])
+        ok = ~blank if size == 1 else inner[size - 1 : n] - inner[1 : n - size + 2] == 0
+        at = np.flatnonzero(ok)
+        own = owner[at] if size == 1 else owner[at + blank[at].astype(np.int64)]
+        out.append(((_mixed(h[at] + np.uint64(size)) % np.uint64(SIZE)).astype(np.int64), np.minimum(own, len(words) - 1)))
+    begins = np.flatnonzero(blank)[:-1] + 1
+    place = np.arange(n) - np.concatenate([[0], begins])[np.minimum(owner + 1, len(words))]
+    whole = np.add.reduceat(np.where(blank, np.uint64(0), _mixed(codes + place.astype(np.uint64) * np.uint64(0xC2B2AE35))), begins)
+    apart = ~_unspaced(text[begins])
+    out.append(((_mixed(whole + np.uint64(77)) % np.uint64(SIZE)).astype(np.int64)[apart], np.flatnonzero(apart)))
+    return out
+
+
+def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, count) of each text's n-grams, ordered."""
+    words, of = [], []
+    for i, t in enumerate(texts):
+        own = folded_words(_without_names(t))
+        words += own
+        of += [i] * len(own)
+    found = features(words)
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    of = np.array(of)
+    keys = np.concatenate([of[w] * SIZE + b for b, w in found])
+    keys, counts = np.unique(keys, return_counts=True)
+    return keys // SIZE, keys % SIZE, counts
+
+
+def _without_names(text: str) -> str:
+    """In a text of another script, Latin words are names."""
     if not text.isascii():
-        words = WORDS.findall(text)
-        other = sum(len(w) for w in words if 2 * sum(c > "\u036f" for c in w) > len(w))
-        if other >= 0.2 * sum(map(len, words)):
-            text = LATIN_WORD.sub(" ", text)
-    text = unicodedata.normalize("NFC", text.translate(_letters()))
-    return f" {NOT_WORD.sub(' ', text.lower()).strip()} "
+        n, other = _script(text)
+        if other >= 0.2 * n:
+            return LATIN_WORD.sub(" ", text)
+    return text
 
 
-def _grams(text: str) -> Counter:
-    text = folded(text)
-    return Counter(text[i : i + n] for n in range(1, GRAMS + 1) for i in range(len(text) - n + 1))
+def _script(text: str) -> tuple[int, int]:
+    """How many letters a text has, and how many of them in words of other scripts than Latin."""
+    words = WORD.findall(text)
+    return sum(map(len, words)), 0 if text.isascii() else sum(len(w) for w in words if 2 * sum(c > "ͯ" for c in w) > len(w))
 
 
 class LanguageModel:
     """Centroids of the languages of labelled texts; the same texts always give the same centroids."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
-        counted = [(x, _grams(t)) for x in sorted(texts) for t in sorted(texts[x])]
-        seen = Counter(g for _, c in counted for g in c)
-        self.ids = {g: i for i, g in enumerate(sorted(seen))}
-        self.idf = np.array([np.log((1 + len(counted)) / (1 + seen[g])) + 1 for g in self.ids], dtype=np.float32)
-        self.languages = sorted(texts)
-        centroids, owner = [], []
-        for k, x in enumerate(self.languages):
-            vectors = np.stack([self._vector(c) for y, c in counted if y == x])
-            for c in _clusters(vectors, CENTROIDS):
-                centroids.append(c)
-                owner.append(k)
-        self.owner = np.array(owner)
-        self.scripts = self._own_scripts(texts)
-        self.centroids = np.ascontiguousarray(np.stack(centroids).T)  # by n-gram
-        self.scores = lru_cache(20_000)(self._scores)
-
-    def _vector(self, counts: Counter) -> np.ndarray:
-        v = np.zeros(len(self.ids), dtype=np.float32)
-        for g, n in counts.items():
-            if g in self.ids:
-                v[self.ids[g]] = 1 + np.log(n)
-        v *= self.idf
-        return v / max(float(np.linalg.norm(v)), 1e-9)
-
-    def _scores(self, text: str) -> np.ndarray:
-        """The cosine with the nearest centroid of each language."""
-        get, plain = self.ids.get, folded(text)
-        found = [k for n in range(1, GRAMS + 1) for i in range(len(plain) - n + 1) if (k := get(plain[i : i + n])) is not None]
-        out = np.zeros(len(self.languages), dtype=np.float32)
-        if found:
-            at, counts = np.unique(np.array(found), return_counts=True)
-            w = (1 + np.log(counts.astype(np.float32))) * self.idf[at]
-            cosines = w @ self.centroids[at] / max(float(np.linalg.norm(w)), 1e-9)
-            np.maximum.at(out, self.owner, cosines)
-        return out
-
-    def _own_scripts(self, texts: dict[str, list[str]]) -> dict[int, str]:
-        """The scripts, by their block of 128 characters, that the texts of one language alone are written in."""
-        users: dict[int, Counter] = {}
-        for x, own in texts.items():
-            for c, n in Counter("".join(own)).items():
-                if c.isalpha() and ord(c) >= 0x370:
-                    users.setdefault(ord(c) >> 7, Counter())[x] += n
-        return {block: next(iter(n)) for block, n in users.items() if len(n) == 1}
-
-    def quick(self, piece: str) -> str | None:
-        """The language of a piece, by its last letters where their script is that of one language only."""
-        for c in reversed(piece):
-            if c >= "\u0370" and c.isalpha():
-                return self.scripts.get(ord(c) >> 7) or self.classify(piece)[0]
-        return self.classify(piece)[0]
+        self.languages = sorted(x for x in texts if texts[x])
+        rows = {x: sorted(texts[x]) for x in self.languages}
+        found = {x: _vectors(rows[x]) for x in self.languages}
+        total = sum(map(len, rows.values()))
+        df = np.zeros(SIZE)
+        for _, bucket, _ in found.values():
+            df += np.bincount(bucket, minlength=SIZE)
+        idf = np.log((1 + total) / (1 + df)).astype(np.float32)
+        table, starts = [], []
+        for x in self.languages:
+            starts.append(len(table))
+            text, bucket, count = found[x]
+            table += list(_clusters(text, bucket, count * idf[bucket], len(rows[x])))
+        self.starts = np.array(starts)
+        # an n-gram's share of the dot product with each centroid, and its share of a text's squared length
+        self.weights = np.ascontiguousarray((np.stack(table) * idf).T, dtype=np.float16) if table else np.zeros((SIZE, 0), np.float16)
+        self.squares = idf**2
+        self.forget()
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("languages", "starts", "weights", "squares")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def forget(self) -> None:
+        """Sums by token are kept, as tokens recur; the sums of a text are those of its tokens."""
+        self.known: dict[str, int] = {}
+        width = self.weights.shape[1] + 1
+        self.whole, self.rest = np.zeros((1024, width), np.float32), np.zeros((1024, width), np.float32)
+        self.sizes = np.zeros((1024, 2), np.int64)
+
+    def _learn(self, tokens: list[str]) -> None:
+        words, of, sizes = [], [], []
+        for i, t in enumerate(tokens):
+            own = folded_words(t)
+            words += own
+            of += [2 * i] * len(own)
+            if not t.isascii():
+                own = folded_words(LATIN_WORD.sub(" ", t))
+                words += own
+                of += [2 * i + 1] * len(own)
+            sizes.append(_script(t))
+        sums = np.zeros((2 * len(tokens), self.weights.shape[1] + 1), np.float32)
+        of = np.array(of, dtype=np.int64)
+        for lo in range(0, len(words), 5_000):
+            for bucket, word in features(words[lo : lo + 5_000]):
+                if len(bucket):
+                    row = of[lo + word]
+                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    values = np.concatenate([self.weights[bucket].astype(np.float32), self.squares[bucket, None]], axis=1)
+                    sums[row[first]] += np.add.reduceat(values, first)
+        base = len(self.known)
+        while base + len(tokens) > len(self.sizes):
+            self.whole, self.rest, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.whole, self.rest, self.sizes))
+        at = slice(base, base + len(tokens))
+        self.whole[at], self.rest[at], self.sizes[at] = sums[::2], sums[1::2], sizes
+        self.known.update(zip(tokens, range(base, base + len(tokens))))
+
+    def sums(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece of text, the dot products with all centroids and, last, its squared length; and its letters.
+
+        In its length, each occurrence of an n-gram counts for itself.
+        """
+        split = [p.split() for p in pieces]
+        tokens = [t for s in split for t in s]
+        if len(self.known) > KEPT_TOKENS:
+            self.forget()
+        new = [t for t in dict.fromkeys(tokens) if t not in self.known]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        out, letters = np.zeros((len(split), self.whole.shape[1]), np.float32), np.zeros(len(split), np.int64)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            begins = (np.cumsum(sizes) - sizes)[some]
+            n = np.add.reduceat(self.sizes[at], begins)
+            # in a text of another script, Latin words are names
+            other = 5 * n[:, 1] >= n[:, 0]
+            other &= n[:, 1] > 0
+            piece = np.repeat(np.arange(len(some)), sizes[some])
+            values = np.where(other[piece, None], self.rest[at], self.whole[at])
+            out[some], letters[some] = np.add.reduceat(values, begins), n[:, 0]
+        return out, letters
+
+    def by_language(self, sums: np.ndarray) -> np.ndarray:
+        """The dot product with the nearest centroid of each language."""
+        return np.maximum.reduceat(sums[:, :-1], self.starts, axis=1) if len(self.languages) else np.zeros((len(sums), 0), np.float32)
+
+    def decide(self, sums: np.ndarray, letters: np.ndarray) -> list[tuple[str | None, float]]:
+        """The language and the confidence of each piece of one document, by its sums."""
+        if not len(sums) or not self.languages:
+            return [(None, 0.0)] * len(sums)
+        scores = self.by_language(sums)
+        best = scores.max(1)
+        near = best >= REJECT * np.sqrt(np.maximum(sums[:, -1], 1e-9))
+        near &= best > 0
+        if not near.any():
+            return [(None, 0.0)] * len(sums)
+        share = scores / np.maximum(best, 1e-9)[:, None]
+        cost = np.where(near, np.minimum(letters, LONG), 0)[:, None] * (1 - share)
+        among = np.unique(np.append(scores[near].argmax(1), cost.sum(0).argmin()))
+        path = np.full(len(sums), among[0])
+        if len(among) > 1:
+            cost, back = cost[:, among], np.zeros((len(sums), len(among)), np.int64)
+            so_far, here = cost[0].copy(), np.arange(len(among))
+            for i in range(1, len(cost)):
+                other = int(so_far.argmin())
+                stay = so_far <= so_far[other] + SWITCH
+                back[i] = np.where(stay, here, other)
+                so_far = np.where(stay, so_far, so_far[other] + SWITCH) + cost[i]
+            k = int(so_far.argmin())
+            for i in range(len(cost) - 1, -1, -1):
+                path[i] = among[k]
+                k = back[i][k]
+        rows = np.arange(len(sums))
+        own = share[rows, path]
+        share[rows, path] = -np.inf
+        lead = np.where(near & (own > 0), 1 - np.maximum(share.max(1), 0) / np.maximum(own, 1e-9), 0) if len(self.languages) > 1 else near.astype(float)
+        return [(self.languages[k], float(min(max(x, 0), 1))) for k, x in zip(path, lead)]
 
     def classify(self, text: str) -> tuple[str | None, float]:
-        """The language and the confidence, from 0 to 1; None if the text is too far from every centroid."""
-        scores = self.scores(text)
-        best = int(scores.argmax())
-        if scores[best] < REJECT or not folded(text).strip():
-            return None, 0.0
-        rest = float(np.delete(scores, best).max()) if len(scores) > 1 else 0.0
-        return self.languages[best], float(1 - rest / scores[best])
-
-    def classify_parts(self, parts: list[str]) -> list[tuple[str | None, float]]:
-        """The language of each part of a document; parts rejected or unsure take the best of its other languages."""
-        first = [self.classify(p) for p in parts]
-        sizes = Counter()
-        for p, (x, sure) in zip(parts, first):
-            if x is not None and sure >= UNSURE:
-                sizes[x] += len(p)
-        if not sizes:
-            scores = self.scores(" ".join(parts))
-            return [(self.languages[int(scores.argmax())] if scores.max() > 0 else None, 0.0)] * len(parts)
-        out = []
-        for i, (p, (x, sure)) in enumerate(zip(parts, first)):
-            if x is None or sure < UNSURE:
-                scores = self.scores(p)
-                near = [first[j][0] for j in (i - 1, i + 1) if 0 <= j < len(first) and first[j][0] in sizes]
-                x = max(sizes, key=lambda y: (round(float(scores[self.languages.index(y)]), 6), y in near, sizes[y], y))
-                sure = 0.0
-            out.append((x, sure))
-        return out
-
-
-def _clusters(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+        """The language of one text and the confidence, from 0 to 1; None if it is too far from every centroid."""
+        return self.decide(*self.sums([text]))[0]
+
+
+def _clusters(text: np.ndarray, bucket: np.ndarray, weight: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
     """Unit centroids of unit vectors: spherical k-means from the vectors farthest apart."""
-    chosen = [int((vectors @ vectors.mean(0)).argmax())]
-    while len(chosen) < min(k, len(vectors)):
-        chosen.append(int((vectors @ vectors[chosen].T).max(1).argmin()))
-    centres = vectors[chosen]
+    length = np.sqrt(np.bincount(text, weight**2, n))
+    weight = (weight / np.maximum(length[text], 1e-9)).astype(np.float32)
+
+    def means(owner: np.ndarray, k: int) -> np.ndarray:
+        m = np.bincount(owner[text] * SIZE + bucket, weight, k * SIZE).reshape(k, SIZE)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+    def near(centres: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(text, weight * c[bucket], n) for c in centres], axis=1)
+
+    def one(i: int) -> np.ndarray:
+        mine = text == i
+        return np.bincount(bucket[mine], weight[mine], SIZE)
+
+    grams = np.bincount(text, minlength=n)
+    long = grams >= np.median(grams)  # a short text lies far from all others whatever its words
+    centres = one(int(np.where(long, near(means(np.zeros(n, np.int64), 1))[:, 0], -1).argmax()))[None]
+    while len(centres) < min(CENTROIDS, n):
+        centres = np.concatenate([centres, one(int(np.where(long, near(centres).max(1), 2).argmin()))[None]])
+    owner = None
     for _ in range(rounds):
-        near = (vectors @ centres.T).argmax(1)
-        centres = np.stack([vectors[near == j].mean(0) if (near == j).any() else centres[j] for j in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        last, owner = owner, near(centres).argmax(1)
+        if last is not None and (last == owner).all():
+            break
+        held = np.bincount(owner, minlength=len(centres))
+        centres = means(owner, len(centres))[held >= LEAST_SHARE * n]  # a centroid of few texts would draw in their words
+        owner = owner if len(held) == len(centres) else None
     return centres
 
 
-_models: dict[int, LanguageModel] = {}
+def labelled_sample(df: DataFrame, languages: Sequence[str], key: str, text: str, label: str) -> list[tuple[str, str]]:
+    """(language, text) of at most FIT_ROWS labelled rows of each language, those of least hash of the key."""
+    said = F.lower(F.substring(F.trim(label), 1, 2))
+    rows = df.select(said.alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where(F.col("l").isin(list(languages)))
+    # the hashes alone are ranked, a partition's least before they are sent; texts are read for those below the bound
+    bounds = rows.select("l", "h").distinct().selectExpr("l", "h", "row_number() OVER (PARTITION BY l ORDER BY h) AS k").where(F.col("k") <= FIT_ROWS)
+    bound = {r["l"]: r["h"] for r in bounds.groupBy("l").agg(F.max("h").alias("h")).collect()}  # a row a language
+    if not bound:
+        return []
+    within = F.lit(False)
+    for x, h in sorted(bound.items()):
+        within = within | ((F.col("l") == x) & (F.col("h") <= F.lit(h)))
+    rows = rows.where(within & (F.length("t") <= FIT_CHARS)).select("l", "t").distinct()
+    return sorted((r["l"], r["t"]) for r in rows.collect())  # FIT_ROWS a language
 
 
-def language_model(texts: dict[str, list[str]]) -> LanguageModel:
-    """One model for each training table in a worker."""
-    at = hash(tuple((k, tuple(v)) for k, v in sorted(texts.items())))
-    if at not in _models:
-        _models[at] = LanguageModel(texts)
-    return _models[at]
+def fit_languages(training: dict[str, list[str]], sample: list[tuple[str, str]] = ()) -> LanguageModel:
+    """Centroids of a labelled table and of a sample of documents whose labels may be wrong.
+
+    Centroids of the table alone judge the sample first. A text counts for its label if most of it is in that language;
+    sentences that surely are in another are left out.
+    """
+    model = LanguageModel(training)
+    for _ in range(FIT_ROUNDS if sample else 0):
+        pieces, of = [], []
+        for i, (_, t) in enumerate(sample):
+            parts = [p for p in ROUGH_END.split(t) if p.strip()]
+            pieces += parts
+            of += [i] * len(parts)
+        sums, _ = model.sums(pieces)
+        scores, of = model.by_language(sums), np.array(of, dtype=np.int64)
+        whole = np.zeros((len(sample), len(model.languages)), np.float32)
+        np.add.at(whole, of, scores)
+        said = np.array([model.languages.index(x) for x, _ in sample])
+        own = whole[np.arange(len(sample)), said]
+        whole[np.arange(len(sample)), said] = 0
+        sure = whole.max(1) <= (1 - OWN_LEAD) * own
+        fits = scores[np.arange(len(of)), said[of]] >= (1 - OTHER_LEAD) * scores.max(1)
+        kept: list[list[str]] = [[] for _ in sample]
+        for i in np.flatnonzero(fits & sure[of]):
+            kept[of[i]].append(pieces[i])
+        texts = {x: list(v) for x, v in training.items()}
+        for (x, _), parts in zip(sample, kept):
+            if parts:
+                texts[x].append(" ".join(parts))
+        model = LanguageModel(texts)
+    return model
+
+
+def document_languages(df: DataFrame, training: dict[str, list[str]], key: str, text: str, label: str | None) -> LanguageModel:
+    """The model for a table of documents: fitted on the labelled texts and a sample of the table's own labelled rows."""
+    sample = labelled_sample(df, sorted(training), key, text, label) if label else []
+    return fit_languages(training, sample)
 
 
 def language_segments(df: DataFrame, corpus: DataFrame, key: str = "id", text: str = "body", label: str = "language", order: str | None = "arrived_at") -> DataFrame:
@@ -167,30 +343,34 @@ def language_segments(df: DataFrame, corpus: DataFrame, key: str = "id", text: s
     mean of its sentences', by their lengths. Offsets count code points of the text as stored. Garbled sentences are
     judged as their repaired form. A key with several rows gives those of the last one by `order`; null keys and null,
     empty or blank texts give none; a text of signs alone has a null language. Sentences come from a boundary model of
-    all texts given.
+    all texts given; centroids from the labelled table and FIT_ROWS labelled rows a language.
     """
     from keystrata.llm.encoding import read_again, repairer, training_texts
-    from keystrata.llm.sentences import BoundaryModel, _language_of, latest_rows, learn_boundaries, split_units
+    from keystrata.llm.sentences import boundaries, latest_rows, laid_out, split_units, with_entries
 
     rows = latest_rows(df, key, text, order, label)
     training = training_texts(corpus)
-    parts = learn_boundaries(rows, training).parts
-    entries = [(x, part, w) for part, by in parts.items() for x, ws in by.items() for w in sorted(ws)]
-    shared = df.sparkSession.sparkContext.broadcast((training, entries))  # sizes checked where they are made
+    shared = df.sparkSession.sparkContext.broadcast((training, document_languages(df, training, key, text, label)))  # bounded by FIT_ROWS and SIZE
+    told = rows.select(F.col("key").cast("string").alias("key"), "t", F.col(label).cast("string").alias("label")).where(F.col("t").rlike(r"\S"))
+    told, model_of = with_entries(told, boundaries(rows, shared), shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        languages, model, fixer = language_model(shared.value[0]), BoundaryModel(shared.value[1]), repairer(shared.value[0])
-        of = _language_of(languages)
-
+        languages, fixer = shared.value[1], repairer(shared.value[0])
         for batch in batches:
             out = []
-            for k, t, said in zip(batch["key"], batch["t"], batch["label"]):
-                units = split_units(t, model, of)
+            for i, layout, sums, letters, names in laid_out(batch["t"], languages):
+                k, t, said = batch["key"].iloc[i], layout.text, batch["label"].iloc[i]
+                units = split_units(layout, model_of(batch, i), names)
+                if not units:
+                    continue
                 garbled = fixer.repair(t)[1]
-                legible = [read_again(t[b:e], next((c for x, y, c in garbled if x < e and y > b), ())) for b, e in units]
-                judged = languages.classify_parts(legible)
+                if garbled:
+                    sums, letters = languages.sums([read_again(t[b:e], next((c for x, y, c in garbled if x < e and y > b), ())) for b, e, _ in units])
+                else:
+                    firsts = [f for _, _, f in units]
+                    sums, letters = np.add.reduceat(sums, firsts), np.add.reduceat(letters, firsts)
                 runs: list[list] = []
-                for (b, e), (x, sure) in zip(units, judged):
+                for (b, e, _), (x, sure) in zip(units, languages.decide(sums, letters)):
                     if runs and runs[-1][2] == x:
                         runs[-1][1] = e
                         runs[-1][3] += sure * (e - b)
@@ -200,7 +380,6 @@ def language_segments(df: DataFrame, corpus: DataFrame, key: str = "id", text: s
                 out += [(k, b, e, x, s / n, len(runs), said) for b, e, x, s, n in runs]
             yield pd.DataFrame(out, columns=["key", "begin_at", "end_at", "lang", "confidence", "segments", "label"])
 
-    told = rows.select(F.col("key").cast("string").alias("key"), "t", F.col(label).cast("string").alias("label")).where(F.col("t").rlike(r"\S"))
     found = told.mapInPandas(run, "key string, begin_at long, end_at long, lang string, confidence double, segments int, label string")
     return found.withColumnRenamed("key", key)
 

@@ -10,8 +10,9 @@ stays in its sentence; where a script writes no stops, the space between two sta
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.encoding import training_texts
-from keystrata.llm.language import language_model
+from keystrata.llm.language import LanguageModel, document_languages
 from keystrata.session import materialize
 
 #: Brackets and quotation marks with what closes them, stops of all scripts, and marks of a pause.
@@ -37,8 +38,8 @@ SPACED, UNSPACED, CASELESS = ("th",), ("ja", "th", "zh"), ("ar", "hi", "ja", "th
 #: Log-likelihood from which a word counts as an abbreviation, a starter or a word that goes on after a quotation, and
 #: the share of its places that it must take there. Entries of the model at most, as it is sent to every worker.
 ABBREVIATION, COLLOCATION, STARTER, SHARE, MAX_ENTRIES = 0.3, 7.88, 30.0, 0.8, 1_000_000
-#: Characters of a paragraph that are judged together for their language, and those that may be left for a last piece.
-PIECE, TAIL = 400, 110
+#: A longer word is in no list, so that the end of it tells as much as the whole. Characters split at a time.
+LONGEST_WORD, SLICE = 60, 1_000_000
 PARAGRAPH = re.compile(r"\r?\n[^\S\r\n]*(?:\r?\n\s*)+")
 STOP_RUN = re.compile(rf"[{re.escape(STOPS)}]+|(?<=[Ͱ-Ͽἀ-῿]);|;")
 LETTERS = r"[\p{L}\p{M}\p{N}]+"
@@ -46,6 +47,8 @@ WORD = regex.compile(rf"{LETTERS}(?:[.'’\-]{LETTERS})*")
 LAST_WORD = regex.compile(rf"{LETTERS}(?:[.'’\-]{LETTERS})*$")
 LATIN = re.compile(r"[A-Za-z]")
 LATIN_END = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*(?:[.'’\-]\p{Latin}[\p{Latin}\p{M}]*)*$")
+THAI = re.compile("[฀-๿]")
+OWN_SCRIPT = re.compile("([฀-๿])|([ऀ-ॿ])|([؀-ۿ])|([぀-鿿])")
 NAME = re.compile(r"(?:[A-Z][A-Za-z’'\-]*\.?\s*)+")
 
 
@@ -111,7 +114,8 @@ class Places:
             else:
                 kind = "mark"
             out[end] = (kind, m.start())
-        self.places = []
+        self.places: list[tuple[str, int, int, int]] = []
+        self._blanks: list[int] | None = None
         for end in sorted(out):
             following = end
             while following < len(text) and text[following].isspace():
@@ -120,6 +124,15 @@ class Places:
                 kind, at = out[end]
                 self.places.append((kind, at, end, following))
 
+    def in_address(self, at: int) -> bool:
+        """Whether what stands before a place, back to the last white space, looks like an address of the web or of mail."""
+        if self._blanks is None:
+            self._blanks = [m.end() for m in re.finditer(r"\s+", self.text)]
+            self._marks = [m.start() for m in re.finditer("[/@]", self.text)]
+        k = bisect_right(self._blanks, at)
+        begin = self._blanks[k - 1] if k else 0
+        return bisect_left(self._marks, begin) < bisect_left(self._marks, at)
+
 
 def _next_word(text: str, at: int, language: str) -> str:
     """The word at a place, without opening marks; in scripts without blanks, two characters."""
@@ -133,7 +146,7 @@ def _next_word(text: str, at: int, language: str) -> str:
 
 def _word_before(text: str, at: int) -> str:
     """The word that ends at a place; of a word run together with the sentence before, what follows the stop."""
-    m = LATIN_END.search(text, max(0, at - 60), at) or LAST_WORD.search(text, max(0, at - 60), at)
+    m = LATIN_END.search(text, max(0, at - LONGEST_WORD), at) or LAST_WORD.search(text, max(0, at - LONGEST_WORD), at)
     word = m[0] if m else ""
     return word if "." not in word or all(len(x) <= 3 for x in word.split(".")) and not word[-1].isupper() else word.rsplit(".", 1)[1]
 
@@ -160,10 +173,10 @@ def _after_quote(text: str, at: int, language: str) -> list[str]:
     return [w.lower() if language not in ("de",) else w for w in words[:3]]
 
 
-def count_features(text: str, language: str) -> Counter:
-    """What a paragraph adds to its language's counts: (kind, word) and how often."""
+def count_features(text: str, language: str, p: Places | None = None) -> Counter:
+    """What a stretch of one language adds to its counts: (kind, word) and how often; p has its places if they are known."""
     out: Counter = Counter()
-    p = Places(text)
+    p = p or Places(text)
     begin_next = True
     for m in WORD.finditer(text):
         word, after = m[0], m.end()
@@ -204,7 +217,7 @@ def count_features(text: str, language: str) -> Counter:
             out["quotes", ""] += 1
         elif kind == "period":
             out["periods", ""] += 1
-            m = LAST_WORD.search(text, max(0, at - 60), at)
+            m = LAST_WORD.search(text, max(0, at - LONGEST_WORD), at)
             if m and len(m[0]) > 3 and m[0].isalpha():
                 out.update(("plain", w) for w in _after_quote(text, following, language))
     return out
@@ -221,6 +234,7 @@ def _ll(k1: float, n1: float, k2: float, n2: float) -> float:
     return 2 * (log(k1, n1, k1 / max(n1, 1)) + log(k2, n2, k2 / max(n2, 1)) - log(k1, n1, p) - log(k2, n2, p))
 
 
+PARTS = ("abbreviation", "ending", "starter", "going on", "inner", "ordinal", "final", "title")
 KINDS = ("period", "other", "begin", "middle", "quote", "plain", "ordinal", "final")
 
 
@@ -257,12 +271,12 @@ class BoundaryModel:
     go on after a quotation."""
 
     def __init__(self, entries: list[tuple[str, str, str]]) -> None:
-        self.parts: dict[str, dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
+        self.parts: dict[str, dict[str, set[str]]] = {part: defaultdict(set) for part in PARTS}
         for language, part, word in entries:
             self.parts[part][language].add(word)
         self.any_abbreviation = {w for words in self.parts["abbreviation"].values() for w in words}
         self.abbreviations, self.ending, self.starters, self.going_on, self.inner, self.ordinals, self.finals, self.titles = (
-            self.parts[x] for x in ("abbreviation", "ending", "starter", "going on", "inner", "ordinal", "final", "title")
+            self.parts[x] for x in PARTS
         )
 
     def plainly_ends(self, p: Places, kind: str, at: int, end: int, following: int) -> bool | None:
@@ -304,8 +318,7 @@ class BoundaryModel:
         if letter.isdigit() or before.isdigit() and len(before) <= 2 and word in self.ordinals[language]:
             return False
         if not gap:
-            url = "/" in text[max(0, at - 40) : at].rsplit(" ", 1)[-1] or "@" in text[max(0, at - 40) : at].rsplit(" ", 1)[-1]
-            return not (known or single or url or not letter.isupper() and language not in CASELESS or not before)
+            return not (known or single or p.in_address(at) or not letter.isupper() and language not in CASELESS or not before)
         if single:
             return written.islower() and (before not in self.abbreviations[language] or word in self.starters[language])
         if known:
@@ -345,28 +358,82 @@ def _thai_spaces(p: Places) -> set[int]:
     return out
 
 
-def split_units(text: str, model: BoundaryModel, language_of) -> list[tuple[int, int]]:
-    """The sentence units of a text, as offsets (begin, end); language_of gives the language of a piece of text."""
+class Layout:
+    """The paragraphs of a text, the places in them where a unit may end, and the pieces of text between such places."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.paragraphs, self.pieces = text, [], []
+        for begin, stop in paragraphs(text):
+            p = Places(text[begin:stop])
+            spaces = _thai_spaces(p) if THAI.search(p.text) else set()
+            cuts = sorted({end for _, _, end, _ in p.places} | spaces)
+            self.paragraphs.append((begin, p, spaces, len(self.pieces)))
+            self.pieces += [(begin + b, begin + e) for b, e in zip([0, *cuts], [*cuts, len(p.text)])]
+
+    def strings(self) -> list[str]:
+        return [self.text[b:e] for b, e in self.pieces]
+
+
+def laid_out(texts: Sequence[str], languages: LanguageModel) -> Iterator[tuple[int, Layout, np.ndarray, np.ndarray, list[str]]]:
+    """(number, layout, sums, letters, language of each piece) of each text; a piece too far from every language has that of its script."""
+    begin, texts = 0, list(texts)
+    while begin < len(texts):
+        layouts, size = [], 0
+        while begin + len(layouts) < len(texts) and (not layouts or size < SLICE):
+            layouts.append(Layout(texts[begin + len(layouts)]))
+            size += len(layouts[-1].text)
+        sums, letters = languages.sums([x for layout in layouts for x in layout.strings()])
+        lo = 0
+        for i, layout in enumerate(layouts):
+            hi = lo + len(layout.pieces)
+            names = [x or _of_script(layout.text[b:e]) for (x, _), (b, e) in zip(languages.decide(sums[lo:hi], letters[lo:hi]), layout.pieces)]
+            yield begin + i, layout, sums[lo:hi], letters[lo:hi], names
+            lo = hi
+        begin += len(layouts)
+
+
+def _of_script(piece: str) -> str:
+    """What rules hold for a piece of no known language: those of its script, else none but the general ones."""
+    m = OWN_SCRIPT.search(piece)
+    return next(x for x, v in zip(("th", "hi", "ar", "zh"), m.groups()) if v) if m else "und"
+
+
+def split_units(layout: Layout, model: BoundaryModel, names: list[str]) -> list[tuple[int, int, int]]:
+    """The sentence units of a text, as offsets (begin, end) and the number of the first piece; names has each piece's language."""
     out = []
-    for begin, stop in paragraphs(text):
-        p = Places(text[begin:stop])
-        cuts, last = set(), 0
+    for begin, p, spaces, first in layout.paragraphs:
+        # the language of a place is that of the piece it ends
+        at_end = {e: names[k] for k, (_, e) in enumerate(layout.pieces[first : first + len(p.places) + len(spaces) + 1], first)}
+        cuts = set()
         for kind, at, end, following in p.places:
             plain = model.plainly_ends(p, kind, at, end, following)
-            if plain or plain is None and model.ends(p, kind, at, end, following, language_of(p.text[max(0, end - 110) : end])):
+            if plain or plain is None and model.ends(p, kind, at, end, following, at_end[begin + end]):
                 cuts.add(end)
-        if re.search("[฀-๿]", p.text):
-            cuts |= {b for b in _thai_spaces(p) if language_of(p.text[max(0, b - 60) : b]) in SPACED or "฀" <= p.text[b - 1] <= "๿"}
+        cuts |= {b for b in spaces if at_end[begin + b] in SPACED or THAI.match(p.text, b - 1)}
+        last, piece_no = 0, first
         for cut in [*sorted(cuts), len(p.text)]:
             piece = p.text[last:cut]
             body = piece.strip()
             if body:
                 at = begin + last + len(piece) - len(piece.lstrip())
-                out.append((at, at + len(body)))
+                out.append((at, at + len(body), piece_no))
+            while piece_no < len(layout.pieces) and layout.pieces[piece_no][1] <= begin + cut:
+                piece_no += 1
             last = cut
     return out
 
 
+def looked_up(layout: Layout, names: list[str]) -> set[str]:
+    """The words by which the places of a text are judged."""
+    out = set()
+    for begin, p, spaces, first in layout.paragraphs:
+        at_end = {e: names[k] for k, (_, e) in enumerate(layout.pieces[first : first + len(p.places) + len(spaces) + 1], first)}
+        for _, at, end, following in p.places:
+            x, before = at_end[begin + end], _word_before(p.text, at).lower()
+            out |= {before, before.rsplit("-", 1)[-1], _next_word(p.text, following, x), _last(p.text, at, x), *_after_quote(p.text, following, x)}
+    return out - {""}
+
+
 def latest_rows(df: DataFrame, key: str, text: str, order: str | None, *more: str) -> DataFrame:
     """(key, text, more): one row for each key that isn't null, the last by `order`, then by text."""
     fields = [F.col(order).alias("o")] if order else []
@@ -379,40 +446,21 @@ def latest_rows(df: DataFrame, key: str, text: str, order: str | None, *more: st
     return rows.select("key", "r.t", *(F.col(f"r.m{i}").alias(c) for i, c in enumerate(more)))
 
 
-def _language_of(languages):
-    def of(piece: str) -> str:
-        return languages.quick(piece) or "en"
-
-    return of
-
+def boundaries(texts: DataFrame, shared, text: str = "t") -> DataFrame:
+    """(language, part, word): what the boundary model of a table of texts knows, from the counts of all of them.
 
-def language_runs(text: str, of) -> list[tuple[int, int, str]]:
-    """(begin, end, language): a paragraph in stretches of one language, judged in pieces of PIECE characters or a stop more."""
-    cuts = [0]
-    if len(text) > PIECE:
-        for _, _, end, _ in Places(text).places:
-            if end - cuts[-1] >= PIECE and len(text) - end >= TAIL:
-                cuts.append(end)
-    out: list[tuple[int, int, str]] = []
-    for b, e in zip(cuts, [*cuts[1:], len(text)]):
-        if e > b:
-            language = of(text[b:e])
-            out.append((out.pop()[0] if out and out[-1][2] == language else b, e, language))
-    return out
-
-
-def learn_boundaries(texts: DataFrame, training: dict[str, list[str]], text: str = "t") -> BoundaryModel:
-    """The model of a table of texts, from the counts of all of them. Counts stay distributed; what passes the tests is collected."""
-    shared = texts.sparkSession.sparkContext.broadcast(training)
+    shared is the broadcast pair of training texts and language model. Counts stay distributed.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = _language_of(language_model(shared.value))
         for batch in batches:
             counts: Counter = Counter()
-            for t in batch[text]:
-                for begin, end in paragraphs(t):
-                    for b, e, language in language_runs(t[begin:end], of):
-                        for (kind, word), n in count_features(t[begin + b : begin + e], language).items():
+            for _, layout, _, _, names in laid_out(batch[text], shared.value[1]):
+                for begin, p, spaces, first in layout.paragraphs:
+                    last = first + len(p.places) + len(spaces) + 1
+                    for b, e, language in runs_of(layout.pieces[first:last], names[first:last]):
+                        whole = e - b == len(p.text)
+                        for (kind, word), n in count_features(layout.text[b:e], language, p if whole else None).items():
                             counts[language, kind, word] += n
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["language", "kind", "word", "n"])
 
@@ -435,35 +483,58 @@ def learn_boundaries(texts: DataFrame, training: dict[str, list[str]], text: str
     after = after.join(known, ["language", "before"], "left_semi").join(starts, ["language", "word"], "left")
     ending = after.groupBy("language", "before").agg(F.sum("n").alias("n"), F.sum(F.coalesce(F.col("starts") * F.col("n"), F.lit(0))).alias("k"))
     ending = ending.where("n >= 3").select("language", F.expr("IF(k >= 0.3 * n, 'ending', 'title')").alias("part"), F.col("before").alias("word"))
-    entries = judged.unionByName(ending)
-    size = entries.count()
-    if size > MAX_ENTRIES:
-        raise ValueError(f"{size} words passed the tests for boundaries; at most {MAX_ENTRIES} are sent to the workers")
-    return BoundaryModel([tuple(r) for r in entries.orderBy("language", "part", "word").collect()])
+    return judged.unionByName(ending)
 
 
-def sentence_units(df: DataFrame, corpus: DataFrame, key: str = "id", text: str = "body", order: str | None = "arrived_at") -> DataFrame:
+def runs_of(pieces: Sequence[tuple[int, int]], names: Sequence[str]) -> list[tuple[int, int, str]]:
+    """(begin, end, language): neighbouring pieces of one language together."""
+    out: list[tuple[int, int, str]] = []
+    for (b, e), x in zip(pieces, names):
+        out.append((out.pop()[0] if out and out[-1][2] == x else b, e, x))
+    return out
+
+
+def with_entries(texts: DataFrame, entries: DataFrame, shared) -> tuple[DataFrame, Callable[[pd.DataFrame, int], BoundaryModel]]:
+    """texts (key, t, ...), and what gives the boundary model for a row of a batch of it.
+
+    A model of up to MAX_ENTRIES words is sent to every worker. A larger one stays a table: each text gets the entries
+    of the words that its own places are judged by, so that results are the same.
+    """
+    few = [tuple(r) for r in entries.limit(MAX_ENTRIES + 1).collect()]
+    if len(few) <= MAX_ENTRIES:
+        sent = texts.sparkSession.sparkContext.broadcast(BoundaryModel(sorted(few)))
+        return texts, lambda batch, i: sent.value
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(batch["key"].iloc[i], w) for i, layout, _, _, names in laid_out(batch["t"], shared.value[1]) for w in looked_up(layout, names)]
+            yield pd.DataFrame(out, columns=["key", "word"])
+
+    asked = texts.select("key", "t").mapInPandas(ask, "key string, word string")
+    own = asked.join(entries, "word").groupBy("key").agg(F.collect_list(F.struct("language", "part", "word")).alias("entries"))  # of one text
+    return texts.join(own, "key", "left"), lambda batch, i: BoundaryModel([(x["language"], x["part"], x["word"]) for x in (batch["entries"].iloc[i] if batch["entries"].iloc[i] is not None else ())])
+
+
+def sentence_units(df: DataFrame, corpus: DataFrame, key: str = "id", text: str = "body", order: str | None = "arrived_at", label: str | None = "language") -> DataFrame:
     """(key STRING, unit INT, begin_at BIGINT, end_at BIGINT): the units of each text, numbered from 0.
 
     Offsets count code points of the text as stored, the end exclusive. Units carry no white space at either end and
     cover everything else. A key with several rows gives the units of the last one by `order`; null keys and null, empty
-    or blank texts give none. The boundary model is learned from all texts given. Texts are split whole.
+    or blank texts give none. The boundary model is learned from all texts given. Texts are split whole. label names a
+    column of languages, some perhaps wrong, or is None.
     """
     rows = latest_rows(df, key, text, order)
     training = training_texts(corpus)
-    spark = df.sparkSession
-    entries = learn_boundaries(rows, training).parts
-    shared = spark.sparkContext.broadcast((training, [(x, part, w) for part, by in entries.items() for x, ws in by.items() for w in sorted(ws)]))
+    shared = df.sparkSession.sparkContext.broadcast((training, document_languages(df, training, key, text, label)))
+    units = rows.select(F.col("key").cast("string").alias("key"), "t").where(F.col("t").rlike(r"\S"))
+    units, model_of = with_entries(units, boundaries(rows, shared), shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        languages, model = language_model(shared.value[0]), BoundaryModel(shared.value[1])
-        of = _language_of(languages)
         for batch in batches:
             out = []
-            for k, t in zip(batch["key"], batch["t"]):
-                for n, (begin, end) in enumerate(split_units(t, model, of)):
-                    out.append((k, n, begin, end))
+            for i, layout, _, _, names in laid_out(batch["t"], shared.value[1]):
+                k = batch["key"].iloc[i]
+                out += [(k, n, b, e) for n, (b, e, _) in enumerate(split_units(layout, model_of(batch, i), names))]
             yield pd.DataFrame(out, columns=["key", "unit", "begin_at", "end_at"])
 
-    units = rows.select(F.col("key").cast("string").alias("key"), "t").where(F.col("t").rlike(r"\S"))
     return units.mapInPandas(run, "key string, unit int, begin_at long, end_at long").withColumnRenamed("key", key)

@@ -1,13 +1,14 @@
 """Operators that learn: held-out accuracy on the labelled table, and defined results for odd texts."""
 
+import re
 from collections import defaultdict
 from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
 
-from keystrata.llm.language import LanguageModel, language_segments, mislabelled
-from keystrata.llm.sentences import BoundaryModel, Places, paragraphs, sentence_units, split_units
+from keystrata.llm.language import LanguageModel, fit_languages, language_segments, mislabelled
+from keystrata.llm.sentences import BoundaryModel, Layout, Places, laid_out, paragraphs, runs_of, sentence_units, split_units
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -58,7 +59,8 @@ def language(piece):
     ],
 )
 def test_units(text, units):
-    found = [text[b:e] for b, e in split_units(text, BoundaryModel(ENTRIES), language)]
+    layout = Layout(text)
+    found = [text[b:e] for b, e, _ in split_units(layout, BoundaryModel(ENTRIES), [language(x) for x in layout.strings()])]
     assert found == units
     assert "".join("".join(found).split()) == "".join(text.split())
 
@@ -70,17 +72,58 @@ def test_marks_in_great_number_take_linear_time():
 
 
 def test_counts_go_to_the_language_they_are_in(spark, labelled):
-    from keystrata.llm.language import language_model
-    from keystrata.llm.sentences import _language_of, language_runs, learn_boundaries
+    from keystrata.llm.sentences import boundaries
 
     en, fr, ru = (" ".join(labelled[x]).replace("\n", " ") for x in ("en", "fr", "ru"))
     text = f"{en[:900]}. {fr} {ru}"
-    runs = language_runs(text, _language_of(language_model(labelled)))
+    model = LanguageModel(labelled)
+    ((_, layout, _, _, names),) = laid_out([text], model)
+    runs = runs_of(layout.pieces, names)
     assert [x for _, _, x in runs] == ["en", "fr", "ru"] and runs[0][0] == 0 and runs[-1][1] == len(text)
     assert all(x[1] == y[0] for x, y in zip(runs, runs[1:]))
     texts = spark.createDataFrame([(f"{en[:900]}. {fr} " + "Le plan zq. grand. " * 40,)], "t string")
-    found = learn_boundaries(texts, labelled).parts["abbreviation"]
-    assert "zq" in found["fr"] and "zq" not in found["en"]
+    found = boundaries(texts, spark.sparkContext.broadcast((labelled, model))).where("part = 'abbreviation'").collect()
+    assert {r["language"] for r in found if r["word"] == "zq"} == {"fr"}
+
+
+@pytest.mark.parametrize("a, b", [("pt", "es"), ("es", "pt"), ("it", "es"), ("lt", "pl"), ("en", "fr"), ("ja", "zh")])
+def test_one_sentence_of_another_language(labelled, a, b):
+    """Held-out texts with a sentence of another language first, within, and last."""
+    model = LanguageModel({k: v[::2] for k, v in labelled.items()})
+    rest = lambda x: [p for t in labelled[x][1::2] for p in re.split(r"(?<=[.!?。])\s*", t) if len(p) > 25]
+    own, others = rest(a), rest(b)
+    right = n = 0
+    for i, other in enumerate(others[:12]):
+        for at in (0, 2, 4):
+            parts = [own[(i + k) % len(own)] for k in range(4)]
+            parts.insert(at, other)
+            n += 5
+            right += sum(x == (b if k == at else a) for k, (x, _) in enumerate(model.decide(*model.sums(parts))))
+    assert right / n >= 0.95
+
+
+def test_wrong_labels_do_not_spoil_the_fit(labelled):
+    held = {k: v[10:] for k, v in labelled.items()}
+    sample = [(k, " ".join(v[i : i + 3])) for k, v in held.items() for i in range(6)] + [("es", " ".join(held["pt"][i : i + 3])) for i in range(4)]
+    model = fit_languages({k: v[:10] for k, v in labelled.items()}, sample)
+    assert all(model.classify(t)[0] == "pt" for t in held["pt"])
+    assert model.classify("Glali")[1] <= 1 and model.decide(*model.sums([])) == []
+
+
+def test_a_model_beyond_its_bound_gives_the_same_units(spark, labelled, monkeypatch):
+    from keystrata.llm import sentences
+
+    corpus = spark.createDataFrame([(k, t) for k, v in labelled.items() for t in v], "language string, text string")
+    df = spark.createDataFrame([(f"{k}{i}", t + " " + v[i - 1], k, 1) for k, v in labelled.items() for i, t in enumerate(v)], "id string, body string, language string, arrived_at int")
+    one = {tuple(r) for r in sentence_units(df, corpus).collect()}
+    monkeypatch.setattr(sentences, "MAX_ENTRIES", 3)
+    assert {tuple(r) for r in sentence_units(df, corpus).collect()} == one
+
+
+def test_addresses_of_any_length():
+    text = "See www.site.example/" + "a" * 500 + ".Html and more."
+    layout = Layout(text)
+    assert len(split_units(layout, BoundaryModel(ENTRIES), ["en"] * len(layout.pieces))) == 1
 
 
 def test_tables_with_nulls_repeats_and_clashes(spark, labelled):
