@@ -49,7 +49,7 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """The garbled records with the original text wherever it can be recovered."""
     corpus = table(spark, folder, "multilingual_corpus")
     words = repaired(table(spark, folder, "stopwords"), corpus, "entry_id", "word", "lang")
-    bodies = repaired(table(spark, folder, "input_document"), corpus, "id", "body")
+    bodies = repaired(table(spark, folder, "input_document"), corpus, "id", "body", label="language")
     both = words.withColumn("tbl", F.lit("stopwords")).unionByName(bodies.withColumn("tbl", F.lit("input_document")))
     return both.select("tbl", "row_key", "original", F.array_join("chains", "; ").alias("chains"), "lost")
 

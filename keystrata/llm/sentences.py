@@ -20,8 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.encoding import training_texts
-from keystrata.llm.language import LanguageModel, document_languages
+from keystrata.llm.language import LanguageModel, fit_documents
 from keystrata.session import materialize
 
 #: Brackets and quotation marks with what closes them, stops of all scripts, and marks of a pause.
@@ -524,8 +523,7 @@ def sentence_units(df: DataFrame, corpus: DataFrame, key: str = "id", text: str
     column of languages, some perhaps wrong, or is None.
     """
     rows = latest_rows(df, key, text, order)
-    training = training_texts(corpus)
-    shared = df.sparkSession.sparkContext.broadcast((training, document_languages(df, training, key, text, label)))
+    shared = df.sparkSession.sparkContext.broadcast(fit_documents(df, corpus, key, text, label))  # bounded by FIT_ROWS and SIZE
     units = rows.select(F.col("key").cast("string").alias("key"), "t").where(F.col("t").rlike(r"\S"))
     units, model_of = with_entries(units, boundaries(rows, shared), shared)
 

@@ -151,6 +151,36 @@ def test_repair_round_trip(text, wrong, meant):
         assert Repairer(CLEAN).repair(garbled)[0] == text
 
 
+KEPT = {
+    "ru": "Архив переправы описывает ночное расписание до восхода солнца и хранит цены на зерно.",
+    "pl": "Kronika promu ogłasza wpisy pamięci, a wąska łódź łączy żółte mosty bez żadnej zwłoki.",
+    "lt": "Kelto archyvas aprašo vandens lygį ir žurnalą šiauriniame krante, jūsų čia.",
+    "fr": "Une péniche échouée répare déjà le marégraphe à côté de l'écluse.",
+    "de": "Der Leuchtwärter prüft täglich die Wasserstände, während die Fähre größere Kähne überholt.",
+    "pt": "A memória vetorial não verifica o horário noturno e as válvulas de reposição da estação.",
+}
+
+
+@pytest.mark.parametrize("language, wrong, meant", [
+    ("ru", "cp1251", "koi8_r"), ("ru", "koi8_r", "cp1251"), ("ru", "cp866", "cp1251"), ("ru", "cp1252", "cp1251"), ("ru", "cp1251", "cp866"),
+    ("fr", "cp437", "utf-8"), ("de", "cp850", "utf-8"), ("pl", "cp1250", "utf-8"), ("lt", "iso8859_2", "utf-8"), ("ru", "cp866", "utf-8"),
+    ("fr", "mac_roman", "cp1252"), ("de", "cp850", "cp1252"), ("pt", "cp850", "cp1252"), ("pt", "cp1250", "cp1252"), ("pl", "cp1252", "cp1250"), ("lt", "cp1252", "cp1257"),
+])
+def test_every_pair_of_codecs(language, wrong, meant):
+    """A wrong reading of any kind is undone, where the reader's codec has all the bytes; the text as it was stays as it is."""
+    text, raw = KEPT[language], KEPT[language].encode(meant)
+    garbled = "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in raw)
+    fixer = Repairer({k: [*CLEAN.get(k, ()), v] for k, v in KEPT.items()} | {"en": CLEAN["en"]})
+    assert garbled == text or fixer.repair(garbled)[0] == text
+    assert fixer.repair(text) == (text, [])
+
+
+def test_disguised_text_is_not_garbled():
+    fixer = Repairer({k: [*CLEAN.get(k, ()), v] for k, v in KEPT.items()} | {"en": CLEAN["en"]})
+    for text in ("Thе fеrry arсhivе dеscribes the nіght schedulе before ѕunrise", "Une pénichе échоuée", "the\xa0ferry archive… before\xadsunrise", "“Архив”"):
+        assert fixer.repair(text) == (text, [])
+
+
 @pytest.mark.parametrize("language, text, wrong, meant", [("pl", "być", "cp1252", "utf-8"), ("pl", "być", "cp1252", "cp1250"), ("pl", "Pamięć łączy dzień i noc", "cp1252", "cp1250"), ("pl", "PAMIĘĆ", "cp1252", "cp1250"), ("it", "può", "cp1252", "utf-8"), ("lt", "žmonę", "cp1252", "cp1257"), ("lt", "mažę", "cp1252", "utf-8")])
 def test_letters_that_training_texts_lack(language, text, wrong, meant):
     texts = CLEAN | {"pl": ["Łódź wąska, żółta próba jest tu. Kto łączy mosty i śnieg?"], "it": ["La città è già lì."]}
