@@ -43,9 +43,13 @@ PARAGRAPH = re.compile(r"\r?\n[^\S\r\n]*(?:\r?\n\s*)+")
 STOP_RUN = re.compile(rf"[{re.escape(STOPS)}]+|(?<=[Ͱ-Ͽἀ-῿]);|;")
 LETTERS = r"[\p{L}\p{M}\p{N}]+"
 WORD = regex.compile(rf"{LETTERS}(?:[.'’\-]{LETTERS})*")
-LAST_WORD = regex.compile(rf"{LETTERS}(?:[.'’\-]{LETTERS})*$")
+#: A word that a single period follows; a word that stands between words; the last word before a place, looked for backwards.
+FOLLOWED = regex.compile(rf"(?>{LETTERS}(?:[.'’\-]{LETTERS})*)(?=\.(?!\.))")
+WITHIN = regex.compile(rf"(?<=[\p{{L}}\p{{N}}][ \n]){LETTERS}(?:[.'’\-]{LETTERS})*")
+NAME_WITHIN = regex.compile(rf"(?<=[\p{{L}}\p{{N}}][ \n])(?=\p{{Lu}}){LETTERS}(?:[.'’\-]{LETTERS})*")
+LAST_WORD = regex.compile(rf"(?r){LETTERS}(?:[.'’\-]{LETTERS})*")
 LATIN = re.compile(r"[A-Za-z]")
-LATIN_END = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*(?:[.'’\-]\p{Latin}[\p{Latin}\p{M}]*)*$")
+LATIN_END = regex.compile(r"(?r)\p{Latin}[\p{Latin}\p{M}]*(?:[.'’\-]\p{Latin}[\p{Latin}\p{M}]*)*")
 THAI = re.compile("[฀-๿]")
 OWN_SCRIPT = re.compile("([฀-๿])|([ऀ-ॿ])|([؀-ۿ])|([぀-鿿])")
 NAME = re.compile(r"(?:[A-Z][A-Za-z’'\-]*\.?\s*)+")
@@ -145,7 +149,7 @@ def _next_word(text: str, at: int, language: str) -> str:
 
 def _word_before(text: str, at: int) -> str:
     """The word that ends at a place; of a word run together with the sentence before, what follows the stop."""
-    m = LATIN_END.search(text, max(0, at - LONGEST_WORD), at) or LAST_WORD.search(text, max(0, at - LONGEST_WORD), at)
+    m = LATIN_END.match(text, max(0, at - LONGEST_WORD), at) or LAST_WORD.match(text, max(0, at - LONGEST_WORD), at)
     word = m[0] if m else ""
     return word if "." not in word or all(len(x) <= 3 for x in word.split(".")) and not word[-1].isupper() else word.rsplit(".", 1)[1]
 
@@ -176,25 +180,25 @@ def count_features(text: str, language: str, p: Places | None = None) -> Counter
     """What a stretch of one language adds to its counts: (kind, word) and how often; p has its places if they are known."""
     out: Counter = Counter()
     p = p or Places(text)
-    begin_next = True
-    for m in WORD.finditer(text):
-        word, after = m[0], m.end()
-        if any(c.isalpha() for c in word) and language not in UNSPACED:
-            followed = after < len(text) and text[after] == "." and text[after : after + 2] != ".."
-            if followed:
-                word = _word_before(text, after) or word
-            out["period" if followed else "other", word.lower()] += 1
-            if followed:
-                k = after + 1
-                while k < len(text) and text[k].isspace():
-                    k += 1
-                if k < len(text):
-                    nxt = _next_word(text, k, language)
-                    if nxt and (nxt[:1].isupper() or language in CASELESS):
-                        out["after " + word.lower(), nxt] += 1
-            if not begin_next and text[m.start() - 1 : m.start()] in (" ", "\n") and m.start() > 1 and text[m.start() - 2].isalnum() and (word[:1].isupper() or language in CASELESS):
-                out["middle", word] += 1
-            begin_next = False
+    if language not in UNSPACED:
+        other = Counter(map(str.lower, WORD.findall(text)))
+        for m in FOLLOWED.finditer(text):
+            word, after = m[0], m.end()
+            if not any(map(str.isalpha, word)):
+                continue
+            other[word.lower()] -= 1
+            word = _word_before(text, after) or word
+            out["period", word.lower()] += 1
+            k = after + 1
+            while k < len(text) and text[k].isspace():
+                k += 1
+            if k < len(text):
+                nxt = _next_word(text, k, language)
+                if nxt and (nxt[:1].isupper() or language in CASELESS):
+                    out["after " + word.lower(), nxt] += 1
+        out.update({("other", w): n for w, n in other.items() if n and any(map(str.isalpha, w))})
+        within = Counter((WITHIN if language in CASELESS else NAME_WITHIN).findall(text))
+        out.update({("middle", w): n for w, n in within.items() if any(map(str.isalpha, w))})
     if language in UNSPACED:
         for m in re.finditer(r"[฀-๿぀-鿿]{2,}", text):
             run = m[0]
@@ -216,7 +220,7 @@ def count_features(text: str, language: str, p: Places | None = None) -> Counter
             out["quotes", ""] += 1
         elif kind == "period":
             out["periods", ""] += 1
-            m = LAST_WORD.search(text, max(0, at - LONGEST_WORD), at)
+            m = LAST_WORD.match(text, max(0, at - LONGEST_WORD), at)
             if m and len(m[0]) > 3 and m[0].isalpha():
                 out.update(("plain", w) for w in _after_quote(text, following, language))
     return out
