@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.llm import frequency
 from keystrata.llm.encoding import repaired
 from keystrata.llm.language import language_segments, mislabelled
 from keystrata.llm.leakage import LeakIndex, leaked_items
@@ -45,6 +46,15 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("normal").agg(F.count_distinct("normalizedKeyword").alias("spellings"), F.count_distinct("result_id").alias("results"))
 
 
+def p2_frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    return frequency.term_frequencies(table(spark, folder, "kaggle_excerpt"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "kaggle_excerpt")
+    return frequency.mark_terms(frequency.term_frequencies(rows), frequency.count_records(rows))
+
+
 def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """The garbled records with the original text wherever it can be recovered."""
     corpus = table(spark, folder, "multilingual_corpus")
@@ -104,6 +114,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_terms": p1_terms,
+        "p2_found": p2_found,
+        "p2_frequencies": p2_frequencies,
         "p3_found": p3_found,
         "p3_repaired": p3_repaired,
         "p4_found": p4_found,
@@ -118,5 +130,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+P2_FREQUENCIES = r"""
+    SELECT "normalizedKeyword" AS term, CAST(sum(coalesce(occurrences, 0)) AS BIGINT) AS occurrences,
+           count(DISTINCT id) AS records
+    FROM (SELECT DISTINCT result_id, id, "normalizedKeyword", occurrences FROM kaggle_excerpt)
+    WHERE "normalizedKeyword" IS NOT NULL AND NOT regexp_matches("normalizedKeyword", '^[\s\p{Z}]*$')
+    GROUP BY 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_frequencies": P2_FREQUENCIES,
+        "p2_found": f"""
+            WITH f AS ({P2_FREQUENCIES}), total AS (SELECT count(DISTINCT id) AS n FROM kaggle_excerpt)
+            SELECT term, 'rare' AS mark FROM f WHERE occurrences < 3
+            UNION ALL SELECT term, 'common' FROM f, total WHERE records > 0.02 * n
+        """,
+    }

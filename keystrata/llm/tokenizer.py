@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Code points encoded at a time, and distinct words kept by a worker: they bound memory, not what is encoded.
 SLICE, KEPT_WORDS = 1_500_000, 400_000
+#: Bytes of a word from which many places are contracted in a round, as rounds of one place would be too many.
+LONG_WORD = 400
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: The white space of the splitting pattern, and the suffixes that it cuts after an apostrophe.
 WHITE = [*range(0x09, 0x0E), 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -89,6 +91,8 @@ class WordEncoder:
         )
         self.con.register("merges_in", table)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
+        at = {c: b for b, c in enumerate(byte_letters())}
+        self.spelling = [(sum({1 << at[c] for c in x if c in at}), len(x)) for x in vocabulary]  # the bytes of each token, and how many
         self.byte_ids = np.array([vocabulary[c] for c in byte_letters()], dtype=np.int32)
         self.forget()
 
@@ -105,45 +109,90 @@ class WordEncoder:
         following = np.append(tok[1:], -1)
         following[np.cumsum(sizes) - 1] = -1
         letters = {"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok, "following": following.astype(np.int32)}
-        self.con.register("letters", pa.table(letters))
+        parts = []
+        for wanted in (sizes <= LONG_WORD, sizes > LONG_WORD):
+            if wanted.any():
+                self.con.register("letters", pa.table({k: v[wanted[w]] for k, v in letters.items()}))
+                long = [x for x, is_long in zip(words, sizes > LONG_WORD) if is_long] if sizes[wanted].min() > LONG_WORD else []
+                parts.append(self._merge_long(long) if long else self._merge_short())
+        self.con.unregister("letters")
+        rows = pa.concat_tables(parts).sort_by("w")
+        lists = rows.column("ids").combine_chunks()
+        flat = lists.flatten().to_numpy()
+        lengths = np.diff(lists.offsets.to_numpy())
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        base = len(self.ends) - 1
+        self.ends.extend((self.used + np.cumsum(lengths)).tolist())
+        self.used += len(flat)
+        for k, word in enumerate(words):
+            self.known[word] = base + k
+
+    def _merge_short(self) -> pa.Table:
+        """(w, ids) of the words in letters, which are of LONG_WORD bytes at most."""
         # a round: the least rank among a word's pairs, its leftmost place, and the contraction there. A word leaves
         # with the round in which no pair of it can be merged; its rows then carry done.
-        rows = self.con.sql(
+        return self.con.sql(
             """
             WITH RECURSIVE step(w, pos, tok, following, done) AS (
                 SELECT w, pos, tok, following, false FROM letters
                 UNION ALL
                 SELECT w, pos,
-                       CASE WHEN pos = best % 16777216 THEN ab ELSE tok END,
-                       CASE WHEN pos = best % 16777216 THEN next_following
-                            WHEN next_pos = best % 16777216 THEN next_ab ELSE following END,
+                       CASE WHEN pos = best % 65536 THEN ab ELSE tok END,
+                       CASE WHEN pos = best % 65536 THEN next_following
+                            WHEN next_pos = best % 65536 THEN next_ab ELSE following END,
                        best IS NULL
                 FROM (
                     SELECT p.w, p.pos, p.tok, p.following, m.ab,
-                           min(m.rank::BIGINT * 16777216 + p.pos) OVER (word ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
+                           min(m.rank::BIGINT * 65536 + p.pos) OVER (word ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
                            lag(p.pos) OVER word AS prior, lead(p.pos) OVER word AS next_pos,
                            lead(p.following) OVER word AS next_following, lead(m.ab) OVER word AS next_ab
                     FROM step p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.following
                     WHERE NOT p.done
                     WINDOW word AS (PARTITION BY p.w ORDER BY p.pos)
                 )
-                WHERE best IS NULL OR prior IS NULL OR prior <> best % 16777216
+                WHERE best IS NULL OR prior IS NULL OR prior <> best % 65536
+            )
+            SELECT w, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY w ORDER BY w
+            """
+        ).to_arrow_table()
+
+    def _merge_long(self, words: list[bytes]) -> pa.Table:
+        """(w, ids) of words of any length."""
+        own = sum({1 << b for b in set().union(*words)})
+        reach = max((n for spelt, n in self.spelling if not spelt & ~own), default=1)
+        # A round contracts every pair of a rank that none within reach undercuts: merges of lower rank grow from pairs of
+        # lower rank, and no token of these bytes is longer than `reach`, so what lies farther off can't take a part of this pair
+        # before its turn. Of overlapping places, as in "aaaa", the first, third and so on are taken, once all of them may be.
+        return self.con.sql(
+            f"""
+            WITH RECURSIVE step(w, pos, tok, following, done) AS (
+                SELECT w, pos, tok, following, false FROM letters
+                UNION ALL
+                SELECT w, pos, new_tok, CASE WHEN best IS NULL THEN NULL ELSE lead(new_tok, 1, -1) OVER (PARTITION BY w ORDER BY pos) END, best IS NULL
+                FROM (
+                    SELECT w, pos, best, CASE WHEN taken THEN ab ELSE tok END AS new_tok,
+                           coalesce(lag(taken) OVER (PARTITION BY w ORDER BY pos), false) AS gone
+                    FROM (
+                        SELECT *, coalesce(bool_and(hit) OVER (PARTITION BY w, rank, island) AND (place - min(place) OVER (PARTITION BY w, rank, island)) % 2 = 0, false) AS taken
+                        FROM (
+                            SELECT *, place - row_number() OVER (PARTITION BY w, rank ORDER BY pos) AS island
+                            FROM (
+                                SELECT p.w, p.pos, p.tok, m.ab, min(m.rank) OVER (PARTITION BY p.w) AS best, m.rank,
+                                       coalesce(m.rank = min(m.rank) OVER (PARTITION BY p.w ORDER BY p.pos RANGE BETWEEN {reach} PRECEDING AND {2 * reach} FOLLOWING), false) AS hit,
+                                       row_number() OVER (PARTITION BY p.w ORDER BY p.pos) AS place
+                                FROM step p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.following
+                                WHERE NOT p.done
+                            )
+                        )
+                    )
+                )
+                WHERE NOT gone
             )
             SELECT w, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY w ORDER BY w
             """
         ).to_arrow_table()
-        self.con.unregister("letters")
-        lists = rows.column("ids").combine_chunks()
-        flat = lists.flatten().to_numpy()
-        lengths = np.diff(lists.offsets.to_numpy())
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        base = len(self.ends) - 1
-        self.ends.extend((self.used + np.cumsum(lengths)).tolist())
-        self.used += len(flat)
-        for k, word in enumerate(words):
-            self.known[word] = base + k
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text; an empty list for a null or empty one."""

@@ -29,6 +29,16 @@ def test_tokenizer_equals_the_library(spark):
     assert tokenizer.encode_corpus(df.limit(0), path).count() == 0
 
 
+def test_long_words_equal_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary_path("byte_bpe_50k.json")
+    library, rng = tokenizers.Tokenizer.from_file(path), random.Random(6)
+    coder = tokenizer.WordEncoder(path)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("aab", 3_000), ("-=", 5_000), ("a", 100_000), ("éаб漢", 3_000), ("the and ing ".replace(" ", ""), 3_000)):
+        word = "".join(rng.choice(letters) for _ in range(n))
+        assert coder.encode([word, "x"]).to_pylist() == [library.encode(w, add_special_tokens=False).ids for w in (word, "x")]
+
+
 def leaks(docs, items, run):
     words = lambda t: [w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", t or "")]
     out = set()
