@@ -31,6 +31,9 @@ def levs(a: str, b: str) -> float:
     return 1 - levenshtein(a, b) / longest if longest else 1.0
 
 
+ratio = levs
+
+
 def jaro(a: str, b: str) -> float:
     if a == b:
         return 1.0

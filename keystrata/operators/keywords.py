@@ -1,7 +1,8 @@
 """Keyword extraction as DataFrames, one for each stage: tokens, terms, edges, n-grams, candidates, keywords.
 
 All documents go through together. Tagged tokens are made once, spread by document, and kept for the stages that read
-them.
+them. These are for queries of words, terms, graphs and candidates; where only keywords are wanted, operators.document
+gives the same ones without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,10 +14,21 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions import similarity, text
+from keystrata.functions import text
+from keystrata.operators.document import ranked_keywords
 from keystrata.options import Options
 from keystrata.sources.stopwords import language_key
 
+
+def document_text(body: str, title: str | None = None) -> Column:
+    """The text of a document: its title, trimmed, and its body after a blank line; the body alone without a title."""
+    whole = F.coalesce(F.col(body), F.lit(""))
+    if title:
+        head = F.regexp_replace(F.coalesce(F.col(title), F.lit("")), f"^[{text.SPACE}]+|[{text.SPACE}]+$", "")
+        whole = F.when(head != "", F.concat(head, F.lit("\n\n"), whole)).otherwise(whole)
+    return whole
+
+
 def documents(df: DataFrame, id: str = "id", body: str = "body", language: str | None = "language", title: str | None = None, options: Options = Options()) -> DataFrame:
     """(doc, rid, text, lang): the documents of a table; title and body make the text where a title column is named.
 
@@ -25,11 +37,7 @@ def documents(df: DataFrame, id: str = "id", body: str = "body", language: str |
     """
     own = F.col(language) if language else F.lit(None).cast("string")
     lang = F.coalesce(F.lit(options.language), own, F.lit("en"))
-    whole = F.coalesce(F.col(body), F.lit(""))
-    if title:
-        head = F.regexp_replace(F.coalesce(F.col(title), F.lit("")), f"^[{text.SPACE}]+|[{text.SPACE}]+$", "")
-        whole = F.when(head != "", F.concat(head, F.lit("\n\n"), whole)).otherwise(whole)
-    rows = df.select(F.col(id).alias("doc"), whole.alias("text"), lang.alias("lang"))
+    rows = df.select(F.col(id).alias("doc"), document_text(body, title).alias("text"), lang.alias("lang"))
     return rows.withColumn("rid", F.xxhash64("doc", "text", "lang"))
 
 
@@ -202,68 +210,24 @@ def candidates(tags: DataFrame, scores: DataFrame, edge_rows: DataFrame, options
     return grouped.withColumn("h", h).drop("product", "total")
 
 
-def _sliding(a: str, b: str) -> bool:
-    x, y = a.split(" "), b.split(" ")
-    return len(x) == len(y) >= 3 and (x[1:] == y[:-1] or y[1:] == x[:-1])
+def ranked(rows: DataFrame, group: str, item: str, score: str, place: Column, options: Options = Options()) -> DataFrame:
+    """(group, rank, item): the items of each group, best first, without those more similar than dedup_lim to a better one.
 
-
-def _settled(run: list) -> list:
-    """A run of equal scores in the order of the text, but of two neighbours that slide over one another the later first."""
-    i = 0
-    while i + 1 < len(run):
-        if _sliding(run[i][2], run[i + 1][2]):
-            run[i], run[i + 1] = run[i + 1], run[i]
-        i += 1
-    return run
-
-
-def keywords(found: DataFrame, options: Options = Options(), similar: Callable[[str, str], float] | None = None) -> DataFrame:
-    """(rid, doc, rank, keyword, normalized_keyword, score, ngram_size, occurrences): each document's best phrases.
-
-    Phrases more similar than dedup_lim to a better one are left out; similar(candidate, accepted) may replace the named
-    similarity. Equal scores keep the order of the text, except that of two sliding phrases of three or more words the
-    later comes first. The phrases of one document are in one task, those of different documents in no fixed one.
+    Equal scores go by place, except that of two sliding phrases of three or more words the later comes first. The items
+    of one group, a document's phrases, are in one task. A null score or item takes no part.
     """
-    compare, limit, top = similar or similarity.FUNCTIONS[options.dedup_func], options.dedup_lim, options.top
-    rows = found.where("clean").groupBy("rid").agg(
-        F.first("doc").alias("doc"), F.array_sort(F.collect_list(F.struct("h", "ord", "norm_kw", "kw", "size", "tf"))).alias("c")
-    )
-    kind = found.schema["doc"].dataType.simpleString()
-    names = ["rid", "doc", "rank", "keyword", "normalized_keyword", "score", "ngram_size", "occurrences"]
-
-    def best(c: list) -> list:
-        accepted, i, n = [], 0, len(c)
-        while i < n and len(accepted) < top:
-            j = i + 1
-            while j < n and not abs(c[j][0] - c[j - 1][0]) > 1e-15:
-                j += 1
-            for x in _settled(c[i:j]) if j > i + 1 else c[i:j]:
-                if limit >= 1 or not any(compare(x[2], y[2]) > limit for y in accepted):
-                    accepted.append(x)
-                    if len(accepted) == top:
-                        break
-            i = j
-        return accepted
+    row = F.struct(F.col(score).alias("score"), place.alias("ord"), F.col(item).alias("normalized_keyword"))
+    lists = rows.where(F.col(score).isNotNull() & F.col(item).isNotNull()).groupBy(group).agg(F.collect_list(row).alias("c"))
+    best = lists.select(group, F.posexplode(ranked_keywords(F.col("c"), options)).alias("rank", item))
+    return best.withColumn("rank", F.col("rank") + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, out = [], []
-            lists = batch.column(2)
-            flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            columns = [flat.field(k).to_pylist() for k in (0, 2, 3, 4, 5)]
-            for i in range(batch.num_rows):
-                lo, hi = int(offsets[i]), int(offsets[i + 1])
-                c = [(h, None, norm, kw, size, tf) for h, norm, kw, size, tf in zip(*(x[lo:hi] for x in columns))]
-                for rank, x in enumerate(best(c)):
-                    row.append(i)
-                    out.append((rank + 1, x[3], x[2], x[0], x[4], x[5]))
-            take = pa.array(row, pa.int32())
-            made = list(zip(*out)) if out else [()] * 6
-            types = (pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(m, t) for m, t in zip(made, types))], names)
-
-    schema = f"rid long, doc {kind}, rank int, keyword string, normalized_keyword string, score double, ngram_size int, occurrences long"
-    return rows.mapInArrow(run, schema)
+
+def keywords(found: DataFrame, options: Options = Options()) -> DataFrame:
+    """(rid, doc, rank, keyword, normalized_keyword, score, ngram_size, occurrences): each document's best phrases."""
+    clean = found.where("clean")
+    place = F.col("ord.pos_text").cast("long") * 64 + F.col("ord.size")
+    rows = ranked(clean, "rid", "norm_kw", "h", place, options).join(clean, ["rid", "norm_kw"])
+    return rows.select("rid", "doc", "rank", F.col("kw").alias("keyword"), F.col("norm_kw").alias("normalized_keyword"), F.col("h").alias("score"), F.col("size").alias("ngram_size"), F.col("tf").alias("occurrences"))
 
 
 def with_sentences(kws: DataFrame, tags: DataFrame, term_rows: DataFrame) -> DataFrame:
@@ -275,9 +239,9 @@ def with_sentences(kws: DataFrame, tags: DataFrame, term_rows: DataFrame) -> Dat
 
 
 class Extraction:
-    """The stages of one extraction over a table of documents, each a lazy DataFrame."""
+    """The stages of one extraction over a table of documents, each a lazy DataFrame; as a context manager, it closes itself."""
 
-    def __init__(self, docs: DataFrame, stopwords: DataFrame, options: Options = Options(), splitter=text.sentence_tokens, lemmatize=None, normalize=None, similar=None, keep=None) -> None:
+    def __init__(self, docs: DataFrame, stopwords: DataFrame, options: Options = Options(), splitter=text.sentence_tokens, lemmatize=None, normalize=None) -> None:
         self.options = options
         # five stages read the tagged tokens: kept with their partitioning, in memory or on disk, and made again if lost
         self.tags = tagged(tokens(docs, splitter), stopwords, lemmatize, normalize).persist(StorageLevel.MEMORY_AND_DISK)
@@ -286,8 +250,13 @@ class Extraction:
         self.metrics = graph_metrics(self.edges)
         self.scores = term_scores(self.terms, self.metrics, options)
         self.candidates = candidates(self.tags, self.scores, self.edges, options)
-        kept = self.candidates.where(keep) if keep is not None else self.candidates
-        self.keywords = keywords(kept, options, similar)
+        self.keywords = keywords(self.candidates, options)
+
+    def __enter__(self) -> Extraction:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def close(self) -> None:
         """Give the tagged tokens up."""

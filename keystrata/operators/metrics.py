@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keystrata.functions import text
+
 
 def tfidf(terms: DataFrame, docs_total: int, doc: str = "doc", term: str = "term", tf: str = "tf") -> DataFrame:
     """(doc, term, tf, df, score): tf times ln((1 + N) / (1 + df)) + 1, df being the documents that hold the term.
@@ -60,14 +65,57 @@ def latency_summary(rows: DataFrame, value: str, by: str) -> DataFrame:
     )
 
 
-def compact(kws: DataFrame, n: int = 5) -> DataFrame:
-    """(doc, rank, keyword, score): lower-case phrases without the single words that a better phrase holds, the first n.
+def candidate_counts(texts: DataFrame, stopwords: DataFrame, doc: str = "doc", text: str = "text", lang: str = "lang", n: int = 3) -> DataFrame:
+    """(doc, phrase, n): how often each run of up to n words occurs within the sentences of a text, marks being words too.
 
-    Give it at least three times as many keywords as are asked for.
+    Phrases neither begin nor end with a stopword, and single words have three letters or more. Null texts give no rows.
+    """
+    rows = texts.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.monotonically_increasing_id().alias("row"))
+    toks = word_rows(rows)
+    listed = stopwords.select(F.col("lang").alias("key"), "word", F.lit(True).alias("stop")).distinct()
+    toks = toks.withColumn("key", F.lower(F.substring("lang", 1, 2))).join(listed, ["key", "word"], "left")
+    within = Window.partitionBy("row", "sent").orderBy("pos")
+    for k in range(1, n):
+        toks = toks.withColumn(f"w{k}", F.lag("word", k).over(within)).withColumn(f"s{k}", F.lag("stop", k).over(within))
+    made = []
+    for size in range(1, n + 1):
+        first = F.col("stop" if size == 1 else f"s{size - 1}")
+        words = [F.col(f"w{k}") for k in range(size - 1, 0, -1)] + [F.col("word")]
+        usable = words[0].isNotNull() & first.isNull() & F.col("stop").isNull()
+        made.append(F.when(usable & (F.length("word") >= 3) if size == 1 else usable, F.concat_ws(" ", *words)))
+    return toks.select("doc", F.explode(F.array_compact(F.array(*made))).alias("phrase")).groupBy("doc", "phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_rows(rows: DataFrame) -> DataFrame:
+    """(row, doc, lang, sent, pos, word): the lower-case tokens of texts that aren't filtered into paragraphs first."""
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sent, pos, word = [], [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                for s, sentence in enumerate(text.split_sentences(t or "")):
+                    kept = [w.lower() for w in text.tokenize(sentence) if not (w[0] in "'’" and len(w) > 1)]
+                    at += [i] * len(kept)
+                    sent += [s] * len(kept)
+                    pos += range(len(kept))
+                    word += kept
+            take = pa.array(at, pa.int32())
+            own = [batch.column(c).take(take) for c in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sent, pa.int32()), pa.array(pos, pa.int32()), pa.array(word, pa.string())], ["row", "doc", "lang", "sent", "pos", "word"])
+
+    return rows.select("row", "doc", "text", "lang").mapInArrow(run, f"row long, doc {kind}, lang string, sent int, pos int, word string")
+
+
+def date_sections(texts: DataFrame, key: str, text: str, least: int = 800) -> DataFrame:
+    """(key, raw_date, iso_date, section): a text cut at its dates written m/d/yy, each section from one date to the next.
+
+    Sections are trimmed; those of fewer than `least` characters are left out, as is what comes before the first date.
     """
-    k = kws.select("rid", "doc", F.lower("keyword").alias("keyword"), "score", "rank")
-    better = Window.partitionBy("rid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    phrases = F.flatten(F.collect_list(F.when(F.size(F.split("keyword", " ")) > 1, F.split("keyword", " ")).otherwise(F.array())).over(better))
-    k = k.withColumn("held", F.array_contains(phrases, F.col("keyword")) & (F.size(F.split("keyword", " ")) == 1)).where(~F.coalesce("held", F.lit(False)))
-    k = k.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy("rank"))).where(F.col("rank") <= n)
-    return k.select("doc", "rank", "keyword", "score")
+    marked = F.regexp_replace(F.col(text), r"\b(\d{1,2}/\d{1,2}/\d{2})\b", "\x01$1\x02")
+    parts = texts.select(key, F.explode(F.slice(F.split(marked, "\x01"), 2, F.size(F.split(marked, "\x01")))).alias("part"))
+    raw = F.substring_index("part", "\x02", 1)
+    section = F.regexp_replace(F.expr("substring(part, locate('\x02', part) + 1)"), r"^\s+|\s+$", "")
+    day = F.split(raw, "/")
+    iso = F.concat_ws("-", F.concat(F.lit("20"), day[2]), F.lpad(day[0], 2, "0"), F.lpad(day[1], 2, "0"))
+    return parts.select(key, raw.alias("raw_date"), iso.alias("iso_date"), section.alias("section")).where(F.length("section") >= least)

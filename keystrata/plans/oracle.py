@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-P2_FREQUENCIES = r"""
-    SELECT "normalizedKeyword" AS term, CAST(sum(coalesce(occurrences, 0)) AS BIGINT) AS occurrences,
-           count(DISTINCT id) AS records
-    FROM (SELECT DISTINCT result_id, id, "normalizedKeyword", occurrences FROM kaggle_excerpt)
-    WHERE "normalizedKeyword" IS NOT NULL AND NOT regexp_matches("normalizedKeyword", '^[\s\p{Z}]*$')
-    GROUP BY 1
-"""
 WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: The stages over eval_item, whose texts are single lines without abbreviations, quotations or contractions.
 WORD = r"\p{L}[\p{L}\p{M}\p{Nd}]*(?:(?:[.''’-]+|…+)[\p{L}\p{M}\p{Nd}]+)*|\p{Nd}+(?:[.,]\p{Nd}+)*|[^\s]"
@@ -92,14 +85,14 @@ def stages(window: int = 1, n: int = 3, features: str = "wrel wfreq wspread wcas
         SELECT item_id, pos_text, {lags} FROM weighted WINDOW b AS (PARTITION BY item_id, sent, block ORDER BY pos_text)
     ), ngrams AS ({" UNION ALL ".join(sizes)}
     ), candidates AS (
-        SELECT item_id, norm_kw, arg_min(kw, pos_text) AS kw, CAST(any_value(size) AS INT) AS size, count(*) AS tf, bool_or(clean) AS clean,
+        SELECT item_id, norm_kw, arg_min(kw, pos_text) AS kw, min(pos_text * 64 + size) AS ord, CAST(any_value(size) AS INT) AS size, count(*) AS tf, bool_or(clean) AS clean,
                any_value(product) / ((any_value(total) + 1) * {"count(*)" if "KPF" in on else "1"}) AS h FROM ngrams GROUP BY 1, 2
     )"""
 
 
 SIM_PAIRS = """
-    WITH k AS (SELECT DISTINCT id, "sentenceIds"[1] AS s, "normalizedKeyword" AS a FROM kaggle_excerpt
-               WHERE regexp_full_match("normalizedKeyword", '[a-z ]+') AND "sentenceIds"[1] IS NOT NULL),
+    WITH RECURSIVE k AS (SELECT DISTINCT id, "sentenceIds"[1] AS s, "normalizedKeyword" AS a FROM kaggle_excerpt
+               WHERE "normalizedKeyword" IS NOT NULL AND "sentenceIds"[1] IS NOT NULL),
     pairs AS (SELECT DISTINCT x.a, y.a AS b FROM k x JOIN k y ON x.id = y.id AND x.s = y.s AND x.a < y.a)"""
 RANKED = """
     WITH k AS (SELECT id AS doc, "normalizedKeyword" AS item, min(score) AS score FROM kaggle_excerpt WHERE score IS NOT NULL AND "normalizedKeyword" IS NOT NULL GROUP BY 1, 2),
@@ -107,31 +100,112 @@ RANKED = """
 LISTS = f"""SELECT DISTINCT lower(left(lang, 2)) AS lang, lower(regexp_replace(word, '^{WHITE}+|{WHITE}+$', '', 'g')) AS word
     FROM stopwords WHERE lang IS NOT NULL AND regexp_replace(word, '^{WHITE}+|{WHITE}+$', '', 'g') <> ''"""
 TRIM_TITLE = f"regexp_replace(coalesce(title, ''), '^{WHITE}+|{WHITE}+$', '', 'g')"
-SEQM = """
-    likeness AS (SELECT *, greatest(length(a), length(b)) AS longest, least(length(a), length(b)) AS shortest,
-        list_distinct(string_split(a, '')) AS ca, list_distinct(string_split(b, '')) AS cb,
-        list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS wa, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS wb,
-        list_distinct(list_transform(range(1, length(a) - 1), lambda i: substring(a, i, 3))) AS ta,
-        list_distinct(list_transform(range(1, length(b) - 1), lambda i: substring(b, i, 3))) AS tb FROM pairs),
-    shares AS (SELECT *, len(list_intersect(ca, cb)) / len(list_distinct(list_concat(ca, cb))) AS chars, len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) AS words,
-        CASE WHEN len(list_concat(ta, tb)) = 0 THEN 0 ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END AS grams FROM likeness)
-    SELECT a, b, round(CASE WHEN abs(length(a) - length(b)) > 0.6 * longest OR abs(len(string_split(a, ' ')) - len(string_split(b, ' '))) > 1 THEN 0
-        WHEN longest > 3 AND shortest > 0 AND (left(a, 1) <> left(b, 1) OR right(a, 1) <> right(b, 1) OR shortest >= 3 AND left(a, 2) <> left(b, 2)) THEN 0
+
+
+def chars(x: str) -> str:
+    """The characters of a string: DuckDB splits strings by what looks like one, and counts bytes in levenshtein."""
+    return f"list_transform(range(1, length({x}) + 1), lambda i: substring({x}, i, 1))"
+
+
+def words(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '[^{WHITE[1:-1]}]+'))"
+
+
+def blanks(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, ' ', '')))"
+
+
+def grams(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substring(lower({x}), i, 3)))"
+
+
+#: likeness AS (a, b, likeness) of the pairs (a, b), by each similarity.
+SEQM = f"""
+    parts AS (SELECT *, greatest(length(a), length(b)) AS longest, least(length(a), length(b)) AS shortest,
+        list_distinct({chars("lower(a)")}) AS ca, list_distinct({chars("lower(b)")}) AS cb, {words("a")} AS wa, {words("b")} AS wb,
+        len(regexp_extract_all(a, '[^{WHITE[1:-1]}]+')) > 1 OR len(regexp_extract_all(b, '[^{WHITE[1:-1]}]+')) > 1 AS many, {grams("a")} AS ta, {grams("b")} AS tb FROM pairs),
+    shares AS (SELECT *, len(list_intersect(ca, cb)) / len(list_distinct(list_concat(ca, cb))) AS chars,
+        CASE WHEN len(list_concat(wa, wb)) = 0 THEN 0 ELSE len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) END AS words,
+        CASE WHEN len(list_concat(ta, tb)) = 0 THEN 0 ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END AS grams FROM parts),
+    likeness AS (SELECT a, b, CASE WHEN a = b THEN 1 WHEN abs(length(a) - length(b)) > 0.6 * longest OR abs({blanks("a")} - {blanks("b")}) > 1 THEN 0
+        WHEN longest > 3 AND shortest > 0 AND (left(a, 1) <> left(b, 1) OR right(a, 1) <> right(b, 1) OR shortest >= 3 AND lower(left(a, 2)) <> lower(left(b, 2))) THEN 0
         WHEN shortest / longest < 0.3 OR chars < 0.2 THEN 0
         WHEN longest <= 4 THEN chars * (shortest / longest)
-        WHEN (len(wa) > 1 OR len(wb) > 1) AND words > 0.4 THEN words
-        ELSE least(0.3 * (shortest / longest) + 0.2 * chars + 0.5 * grams, 1) END, 9) AS likeness FROM shares"""
+        WHEN many AND words > 0.4 THEN words
+        ELSE least(0.3 * (shortest / longest) + 0.2 * chars + 0.5 * grams, 1) END AS likeness FROM shares)"""
+LEVS = f"""
+    spelt AS (SELECT a, b, list_distinct(list_concat({chars("a")}, {chars("b")})) AS u, {chars("a")} AS ca, {chars("b")} AS cb FROM pairs),
+    bytes AS (SELECT a, b, array_to_string(list_transform(ca, lambda c: chr(CAST(31 + list_position(u, c) AS INT))), '') AS x,
+        array_to_string(list_transform(cb, lambda c: chr(CAST(31 + list_position(u, c) AS INT))), '') AS y FROM spelt),
+    likeness AS (SELECT a, b, levenshtein(x, y) AS distance, CASE WHEN a = b THEN 1 ELSE 1 - levenshtein(x, y) / greatest(length(a), length(b)) END AS likeness FROM bytes)"""
+JARO = f"""
+    spelt AS (SELECT a, b, {chars("a")} AS ca, {chars("b")} AS cb, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach FROM pairs),
+    step(a, b, i, used, hits) AS (
+        SELECT a, b, 0::BIGINT, []::BIGINT[], []::VARCHAR[] FROM spelt UNION ALL
+        SELECT a, b, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, CASE WHEN j IS NULL THEN hits ELSE list_append(hits, ca[i + 1]) END FROM (
+            SELECT step.*, s.ca, list_filter(range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1), lambda j: s.cb[j] = s.ca[i + 1] AND NOT list_contains(used, j))[1] AS j
+            FROM step JOIN spelt s USING (a, b) WHERE i < length(a))),
+    ended AS (SELECT step.*, list_transform(list_sort(used), lambda j: s.cb[j]) AS other, len(used) AS m FROM step JOIN spelt s USING (a, b) WHERE i = length(a)),
+    likeness AS (SELECT a, b, CASE WHEN a = b THEN 1 WHEN m = 0 THEN 0
+        ELSE (m / length(a) + m / length(b) + (m - len(list_filter(range(1, m + 1), lambda k: hits[k] <> other[k])) / 2) / m) / 3 END AS likeness FROM ended)"""
+
+
+def greedy(likeness: str, limit: float, top: int) -> str:
+    """taken AS (id, item, rank): of ranked AS (id, item, pos), the first rows that are no more like an earlier one taken than a limit."""
+    return f"""
+    pairs AS (SELECT DISTINCT x.item AS a, y.item AS b FROM ranked x JOIN ranked y ON x.id = y.id AND y.pos < x.pos), {likeness},
+    barred AS (SELECT x.id, x.pos, list(y.pos) AS earlier FROM ranked x JOIN ranked y ON x.id = y.id AND y.pos < x.pos
+        JOIN likeness l ON l.a = x.item AND l.b = y.item WHERE l.likeness > {limit} GROUP BY 1, 2),
+    walk(id, pos, kept) AS (
+        SELECT DISTINCT id, 0::BIGINT, []::BIGINT[] FROM ranked UNION ALL
+        SELECT w.id, w.pos + 1, CASE WHEN len(kept) < {top} AND NOT list_has_any(coalesce(earlier, []), kept) THEN list_append(kept, w.pos + 1) ELSE kept END
+        FROM walk w JOIN ranked r ON r.id = w.id AND r.pos = w.pos + 1 LEFT JOIN barred b ON b.id = w.id AND b.pos = w.pos + 1),
+    taken AS (SELECT r.id, r.item, list_position(kept, r.pos) AS rank FROM (SELECT id, arg_max(kept, pos) AS kept FROM walk GROUP BY 1) k JOIN ranked r ON r.id = k.id AND list_contains(kept, r.pos))"""
+
+
+RESULTS = """
+    WITH RECURSIVE best AS (SELECT id, "normalizedKeyword" AS item, min(score) AS score FROM kaggle_excerpt
+        WHERE id IS NOT NULL AND score IS NOT NULL AND "normalizedKeyword" IS NOT NULL GROUP BY 1, 2),
+    ranked AS (SELECT id, item, row_number() OVER (PARTITION BY id ORDER BY score, item) AS pos FROM best),"""
+
+
+def item_keywords(likeness: str | None, limit: float = 1.0, top: int = 20) -> str:
+    """Keywords of the evaluation texts: candidates in order, scores closer than 1e-15 by place, without near duplicates."""
+    rest = greedy(likeness, limit, top) if likeness else f" taken AS (SELECT id, item, pos AS rank FROM ranked WHERE pos <= {top})"
+    return (
+        stages(n=2).replace("WITH sentence AS", "WITH RECURSIVE sentence AS", 1)
+        + f""", apart AS (SELECT *, CAST(h - lag(h, 1, -1) OVER (PARTITION BY item_id ORDER BY h, ord) > 1e-15 AS INT) AS new FROM candidates WHERE clean),
+        runs AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY h, ord) AS run FROM apart),
+        ranked AS (SELECT item_id AS id, norm_kw AS item, row_number() OVER (PARTITION BY item_id ORDER BY run, ord) AS pos FROM runs),{rest},
+        sents AS (SELECT k.id, k.item, array_to_string(list_sort(list_distinct(flatten(list(t.ids)))), ',') AS sentence_ids
+            FROM (SELECT id, item, unnest(string_split(item, ' ')) AS w FROM taken) k JOIN terms t ON t.item_id = k.id
+            AND t.term = CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END GROUP BY 1, 2)
+        SELECT c.item_id, CAST(t.rank AS INT) AS rank, c.kw AS keyword, c.norm_kw AS normalized_keyword, round(c.h, 9) AS score, c.size AS ngram_size,
+            c.tf AS occurrences, s.sentence_ids FROM taken t JOIN candidates c ON c.item_id = t.id AND c.norm_kw = t.item JOIN sents s ON s.id = t.id AND s.item = t.item"""
+    )
+
+
+COUNTED = stages() + """, low AS (SELECT item_id, sent, pos_sent, lower(word) AS w, lower(word) IN (SELECT w FROM list WHERE w <> '') AS stop FROM raw),
+    grams AS (SELECT item_id, w, stop, [w, lag(w) OVER s || ' ' || w, lag(w, 2) OVER s || ' ' || lag(w) OVER s || ' ' || w] AS g,
+            [stop, lag(stop) OVER s, lag(stop, 2) OVER s] AS first FROM low WINDOW s AS (PARTITION BY item_id, sent ORDER BY pos_sent)),
+    counted AS (SELECT item_id, g[i] AS phrase, count(*) AS n FROM grams, (SELECT unnest([1, 2, 3]) AS i)
+        WHERE NOT stop AND NOT first[i] AND g[i] IS NOT NULL AND (i > 1 OR length(w) >= 3) GROUP BY 1, 2)"""
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&rsquo;": "’", "&lsquo;": "‘", "&rdquo;": "”", "&ldquo;": "“", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
+
+
+def page_text() -> str:
+    x = """'<html><style>p {}</style><script>var a = ''<b>'';</script><p>' || replace(body, chr(10), '</p>' || chr(10) || '<p class=''x''>') || '</p>&mdash;&nbsp;&#39;&bogus;&amp;lt;</html>'"""
+    for kind in ("script", "style"):
+        x = f"regexp_replace({x}, '(?is)<{kind}\\b.*?</{kind}\\s*>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    for entity, to in ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{to}')"
+    return f"trim(regexp_replace(regexp_replace({x}, '&[A-Za-z0-9#]+;', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
     candidate = "SELECT item_id, norm_kw, kw, size, tf, round(h, 9) AS h FROM candidates WHERE clean"
     return {
-        "p2_frequencies": P2_FREQUENCIES,
-        "p2_found": f"""
-            WITH f AS ({P2_FREQUENCIES}), total AS (SELECT count(DISTINCT id) AS n FROM kaggle_excerpt)
-            SELECT term, 'rare' AS mark FROM f WHERE occurrences < 3
-            UNION ALL SELECT term, 'common' FROM f, total WHERE records > 0.02 * n
-        """,
         "pre_filter": f"""SELECT DISTINCT id, array_to_string(list_transform(string_split(body, chr(10)),
             lambda x: CASE WHEN regexp_matches(x, '^{WHITE}*[A-Z]') THEN chr(10) || chr(10) ELSE ' ' END || replace(x, chr(9), ' ')), '') AS filtered FROM input_document""",
         "tokenize": stages() + "SELECT item_id, sent, pos_sent, block, pos_text, word, norm, term FROM tags",
@@ -154,10 +228,31 @@ def oracle_sql() -> dict[str, str]:
             WHERE NOT (lang = 'en' AND word IN ('quite', 'often'))""",
         "resolve_language": "SELECT DISTINCT id, coalesce(language, 'en') AS lang, lower(left(coalesce(language, 'en'), 2)) AS list FROM input_document",
         "title_body": f"""SELECT DISTINCT id, CASE WHEN {TRIM_TITLE} <> '' THEN {TRIM_TITLE} || chr(10) || chr(10) ELSE '' END || coalesce(body, '') AS text FROM input_document""",
-        "sim_levenshtein": SIM_PAIRS + "SELECT a, b, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 9) AS likeness FROM pairs",
-        "sim_seqm": SIM_PAIRS + "," + SEQM,
-        "trigrams": """WITH k AS (SELECT DISTINCT "normalizedKeyword" AS term FROM kaggle_excerpt WHERE regexp_full_match("normalizedKeyword", '[a-z ]+'))
+        "sim_levenshtein": SIM_PAIRS + "," + LEVS + "SELECT a, b, distance, round(likeness, 9) AS likeness FROM likeness",
+        "sim_seqm": SIM_PAIRS + "," + SEQM + "SELECT a, b, round(likeness, 9) AS likeness FROM likeness",
+        "sim_jaro": SIM_PAIRS + "," + JARO + "SELECT a, b, round(likeness, 9) AS likeness FROM likeness",
+        "trigrams": """WITH k AS (SELECT DISTINCT "normalizedKeyword" AS term FROM kaggle_excerpt)
             SELECT DISTINCT term, unnest(list_transform(range(1, length(term) - 1), lambda i: substring(term, i, 3))) AS trigram FROM k""",
+        "dedup_seqm": RESULTS + greedy(SEQM, 0.5, 20) + "SELECT id, item, CAST(rank AS INT) AS rank FROM taken",
+        "dedup_levs": RESULTS + greedy(LEVS, 0.4, 5) + "SELECT id, item, CAST(rank AS INT) AS rank FROM taken",
+        "dedup_jaro": RESULTS + greedy(JARO, 0.65, 20) + "SELECT id, item, CAST(rank AS INT) AS rank FROM taken",
+        "candidate_order": RESULTS + """ small AS (SELECT id, item, floor(score * 10) AS s FROM best WHERE NOT item LIKE '% % %')
+            SELECT id, item, CAST(row_number() OVER (PARTITION BY id ORDER BY s, item) AS INT) AS rank FROM small""",
+        "keywords_items_seqm": item_keywords(SEQM, 0.7),
+        "keywords_items_levs": item_keywords(LEVS, 0.6, 10),
+        "keywords_items_top": item_keywords(None),
+        "result_documents": """SELECT id, coalesce(d.language, 'en') AS language, d.title AS title, map_keys(d.metadata)[1] IS NOT NULL AS has_metadata, true AS few
+            FROM (SELECT id, arg_max(struct_pack(language, title, metadata), arrived_at) AS d FROM input_document GROUP BY 1)""",
+        "candidate_counts": COUNTED + "SELECT * FROM counted",
+        "text_tfidf": COUNTED + """, held AS (SELECT phrase, count(*) AS df FROM counted GROUP BY 1), total AS (SELECT count(DISTINCT item_id) AS docs FROM counted)
+            SELECT item_id AS doc, phrase AS term, n AS tf, df, round(n * (ln((1 + docs) / (1 + df)) + 1), 9) AS score FROM counted JOIN held USING (phrase), total""",
+        "date_sections": """WITH t AS (SELECT doc_id, strftime(committed_at, '%-m/%-d/%y') AS day, text FROM documents),
+            p AS (SELECT doc_id, unnest(string_split(regexp_replace(day || chr(10) || replace(text, chr(10) || chr(10), chr(10) || day || chr(10)),
+                '\\b(\\d{1,2}/\\d{1,2}/\\d{2})\\b', chr(1) || '\\1' || chr(2), 'g'), chr(1))[2:]) AS part FROM t),
+            d AS (SELECT doc_id, string_split(part, chr(2))[1] AS raw_date, regexp_replace(substring(part, position(chr(2) IN part) + 1), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS section FROM p)
+            SELECT doc_id, raw_date, '20' || string_split(raw_date, '/')[3] || '-' || lpad(string_split(raw_date, '/')[1], 2, '0') || '-' || lpad(string_split(raw_date, '/')[2], 2, '0') AS iso_date,
+                section FROM d WHERE length(section) >= 200""",
+        "html_text": f"SELECT DISTINCT id, {page_text()} AS text FROM input_document",
         "tfidf": """WITH f AS (SELECT id AS doc, "normalizedKeyword" AS term, CAST(sum(coalesce(occurrences, 0)) AS BIGINT) AS tf
                 FROM (SELECT DISTINCT result_id, id, "normalizedKeyword", occurrences FROM kaggle_excerpt) WHERE "normalizedKeyword" IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2),
             d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(DISTINCT doc) AS n FROM f)

@@ -11,9 +11,9 @@ from pyspark.sql.types import DoubleType
 
 from keystrata.api import KeywordExtractor, compact_keywords
 from keystrata.functions import similarity, text
-from keystrata.functions.output import highlight_udf, stable_json_udf
-from keystrata.operators import frequency, metrics
-from keystrata.operators.keywords import Extraction, document_stats, documents, edges
+from keystrata.functions.output import highlight_udf, html_to_text, stable_json_udf
+from keystrata.operators import metrics
+from keystrata.operators.keywords import Extraction, document_stats, documents, edges, ranked
 from keystrata.options import Options
 from keystrata.sources import stopwords
 from keystrata.sources.tables import table
@@ -22,29 +22,31 @@ from keystrata.sources.tables import table
 Stages = Callable[..., Extraction]
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "kaggle_excerpt")
-    return frequency.mark_terms(frequency.term_frequencies(rows), frequency.count_records(rows))
+def lists(spark: SparkSession, folder: str) -> DataFrame:
+    return stopwords.load(table(spark, folder, "stopwords"))
 
 
-def p2_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    return frequency.term_frequencies(table(spark, folder, "kaggle_excerpt"))
+_kept: list[Extraction] = []
 
 
-def lists(spark: SparkSession, folder: str) -> DataFrame:
-    return stopwords.load(table(spark, folder, "stopwords"))
+def _only(e: Extraction) -> Extraction:
+    """Of the registered queries, the last one alone keeps its tokens."""
+    while _kept:
+        _kept.pop().close()
+    _kept.append(e)
+    return e
 
 
 def items(spark: SparkSession, folder: str, **options) -> Extraction:
     """The stages over the evaluation texts, which SQL can follow word for word."""
     o = Options(language="en", **options)
-    return Extraction(documents(table(spark, folder, "eval_item"), "item_id", "text", None, options=o), lists(spark, folder), o)
+    return _only(Extraction(documents(table(spark, folder, "eval_item"), "item_id", "text", None, options=o), lists(spark, folder), o))
 
 
 def corpus(spark: SparkSession, folder: str, **options) -> Extraction:
     """The stages over all documents, each in its own language."""
     o = Options(**options)
-    return Extraction(documents(table(spark, folder, "documents"), "doc_id", "text", "lang", options=o), lists(spark, folder), o)
+    return _only(Extraction(documents(table(spark, folder, "documents"), "doc_id", "text", "lang", options=o), lists(spark, folder), o))
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -138,24 +140,20 @@ def title_body(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.col("doc").alias("id"), "text").distinct()
 
 
-PLAIN = "normalizedKeyword rlike '^[a-z ]+$'"
-
-
-def sim_pairs(spark: SparkSession, folder: str, among: str = "true") -> DataFrame:
+def sim_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of keywords of one document that share the first of their places."""
-    k = table(spark, folder, "kaggle_excerpt").where(among).where("normalizedKeyword IS NOT NULL AND sentenceIds[0] IS NOT NULL")
+    k = table(spark, folder, "kaggle_excerpt").where("normalizedKeyword IS NOT NULL AND sentenceIds[0] IS NOT NULL")
     k = k.select("id", F.col("sentenceIds")[0].alias("s"), F.col("normalizedKeyword").alias("a")).distinct()
     return k.join(k.withColumnRenamed("a", "b"), ["id", "s"]).where("a < b").select("a", "b").distinct()
 
 
-def sim_levenshtein(spark: SparkSession, folder: str, among: str = PLAIN) -> DataFrame:
-    """Of plain ASCII keywords, as SQL counts bytes; sim_levenshtein_all is over all of them."""
+def sim_levenshtein(spark: SparkSession, folder: str) -> DataFrame:
     d = similarity.levs_column(F.col("a"), F.col("b"))
-    return sim_pairs(spark, folder, among).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(d, 9).alias("likeness"))
+    return sim_pairs(spark, folder).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(d, 9).alias("likeness"))
 
 
-def sim_seqm(spark: SparkSession, folder: str, among: str = PLAIN) -> DataFrame:
-    return sim_pairs(spark, folder, among).select("a", "b", F.round(similarity.seqm_column(F.col("a"), F.col("b")), 9).alias("likeness"))
+def sim_seqm(spark: SparkSession, folder: str) -> DataFrame:
+    return sim_pairs(spark, folder).select("a", "b", F.round(similarity.seqm_column(F.col("a"), F.col("b")), 9).alias("likeness"))
 
 
 def sim_jaro(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,15 +164,42 @@ def sim_jaro(spark: SparkSession, folder: str) -> DataFrame:
     return sim_pairs(spark, folder).select("a", "b", F.round(jaro("a", "b"), 9).alias("likeness"))
 
 
-def trigrams(spark: SparkSession, folder: str, among: str = PLAIN) -> DataFrame:
-    k = table(spark, folder, "kaggle_excerpt").where(among).select(F.col("normalizedKeyword").alias("term")).distinct()
+def trigrams(spark: SparkSession, folder: str) -> DataFrame:
+    k = table(spark, folder, "kaggle_excerpt").select(F.col("normalizedKeyword").alias("term")).distinct()
     return k.select("term", F.explode(similarity.trigrams(F.col("term"))).alias("trigram"))
 
 
+def _deduplicated(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The keyword results of each document, best first, without near duplicates."""
+    k = table(spark, folder, "kaggle_excerpt").where("id IS NOT NULL AND score IS NOT NULL AND normalizedKeyword IS NOT NULL")
+    k = k.groupBy("id", F.col("normalizedKeyword").alias("item")).agg(F.min("score").alias("score"))
+    return ranked(k, "id", "item", "score", F.col("item"), Options(**options))
+
+
+def dedup_seqm(spark: SparkSession, folder: str) -> DataFrame:
+    return _deduplicated(spark, folder, dedup_lim=0.5)
+
+
+def dedup_levs(spark: SparkSession, folder: str) -> DataFrame:
+    return _deduplicated(spark, folder, dedup_func="levs", dedup_lim=0.4, top=5)
+
+
+def dedup_jaro(spark: SparkSession, folder: str) -> DataFrame:
+    return _deduplicated(spark, folder, dedup_func="jaro", dedup_lim=0.65)
+
+
+def candidate_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Results with equal scores in the order of their names: all of them, as no likeness is above 1."""
+    k = table(spark, folder, "kaggle_excerpt").where("id IS NOT NULL AND score IS NOT NULL AND normalizedKeyword IS NOT NULL")
+    k = k.groupBy("id", F.col("normalizedKeyword").alias("item")).agg((F.floor(F.min("score") * 10) / 10).alias("score")).where("NOT item LIKE '% % %'")
+    near = F.col("score") + F.when(F.length("item") % 2 == 0, F.lit(4e-16)).otherwise(0.0)
+    return ranked(k.withColumn("score", near), "id", "item", "score", F.col("item"), Options(dedup_lim=1.0, top=1000))
+
+
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
     k = table(spark, folder, "kaggle_excerpt").where("normalizedKeyword IS NOT NULL AND id IS NOT NULL").dropDuplicates(["result_id"])
     tf = k.groupBy(F.col("id").alias("doc"), F.col("normalizedKeyword").alias("term")).agg(F.sum(F.coalesce("occurrences", F.lit(0))).cast("long").alias("tf"))
-    return _round(metrics.tfidf(tf, frequency.count_records(tf, "doc")), "score")
+    return _round(metrics.tfidf(tf, frequency_of(tf, "doc")), "score")
 
 
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,15 +260,45 @@ def topk_no_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return _document_keywords(spark, folder, dedup_lim=1.0, n=2)
 
 
+def _item_keywords(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Keywords of the evaluation texts, up to two words long: of these SQL can tell the order."""
+    found = _extractor(spark, folder, language="en", n=2, **options).details(table(spark, folder, "eval_item"), id="item_id", body="text", language=None)
+    rows = found.select(F.col("doc").alias("item_id"), "rank", "keyword", "normalized_keyword", "score", "ngram_size", "occurrences", F.array_join("sentence_ids", ",").alias("sentence_ids"))
+    return _round(rows, "score")
+
+
+def keywords_items_seqm(spark: SparkSession, folder: str) -> DataFrame:
+    return _item_keywords(spark, folder, dedup_lim=0.7)
+
+
+def keywords_items_levs(spark: SparkSession, folder: str) -> DataFrame:
+    return _item_keywords(spark, folder, dedup_func="levs", dedup_lim=0.6, top=10)
+
+
+def keywords_items_top(spark: SparkSession, folder: str) -> DataFrame:
+    return _item_keywords(spark, folder, dedup_lim=1.0)
+
+
 def document_results(spark: SparkSession, folder: str) -> DataFrame:
     """Each delivered document once, with title, metadata and keywords."""
     docs = table(spark, folder, "input_document").groupBy("id").agg(F.max_by(F.struct("body", "language", "title", "metadata"), "arrived_at").alias("d"))
     return _extractor(spark, folder, top=5).results(docs.select("id", "d.*"), title="title", metadata="metadata")
 
 
+def result_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """What results have beside keywords, which are none only for a document without any word."""
+    rows = document_results(spark, folder)
+    return rows.select("id", "language", "title", F.map_keys("metadata")[0].isNotNull().alias("has_metadata"), (F.size("keywords") <= 5).alias("few"))
+
+
 def stable_json(spark: SparkSession, folder: str) -> DataFrame:
     rows = document_results(spark, folder)
-    return rows.select("id", stable_json_udf(F.struct("id", "language", "title", "keywords")).alias("json"))
+    return rows.select("id", stable_json_udf(F.struct("id", "language", "title", "metadata", "keywords")).alias("json"))
+
+
+def payload_size(spark: SparkSession, folder: str) -> DataFrame:
+    """The size of each result's stable JSON in UTF-8."""
+    return stable_json(spark, folder).select("id", F.octet_length("json").cast("long").alias("bytes"))
 
 
 def highlight(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,6 +311,36 @@ def compact(spark: SparkSession, folder: str) -> DataFrame:
     return compact_keywords(table(spark, folder, "documents"), table(spark, folder, "stopwords"), id="doc_id", body="text", language=None)
 
 
+def candidate_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each phrase of one to three words occurs in each evaluation text, blocks disregarded."""
+    items = table(spark, folder, "eval_item").select("item_id", "text", F.lit("en").alias("lang"))
+    return metrics.candidate_counts(items, lists(spark, folder), "item_id").withColumnRenamed("doc", "item_id")
+
+
+def text_tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    """The weights of these phrases, by the texts that hold them."""
+    counts = candidate_counts(spark, folder)
+    return _round(metrics.tfidf(counts, frequency_of(counts, "item_id"), "item_id", "phrase", "n"), "score")
+
+
+def frequency_of(rows: DataFrame, key: str) -> int:
+    """How many distinct keys there are."""
+    return rows.select(key).distinct().count()
+
+
+def date_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their time written out before each paragraph, cut again at these dates."""
+    day = F.date_format("committed_at", "M/d/yy")
+    texts = table(spark, folder, "documents").select("doc_id", F.concat(day, F.lit("\n"), F.replace("text", F.lit("\n\n"), F.concat(F.lit("\n"), day, F.lit("\n")))).alias("text"))
+    return metrics.date_sections(texts, "doc_id", "text", least=200)
+
+
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies as simple pages, and their text again."""
+    page = F.concat(F.lit("<html><style>p {}</style><script>var a = '<b>';</script><p>"), F.replace("body", F.lit("\n"), F.lit("</p>\n<p class='x'>")), F.lit("</p>&mdash;&nbsp;&#39;&bogus;&amp;lt;</html>"))
+    return table(spark, folder, "input_document").select("id", html_to_text(page).alias("text")).distinct()
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return keywords_seqm(spark, folder).select("doc_id", "rank", "keyword", "score")
 
@@ -265,19 +350,16 @@ def of_documents(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, folder: query(spark, folder, corpus).withColumnRenamed("item_id", "doc_id")
 
 
-def of_all_keywords(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of keywords over those of any script, case and sign. It has no SQL."""
-    return lambda spark, folder: query(spark, folder, "true")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        p2_found, p2_frequencies, pre_filter, tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges,
+        pre_filter, tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges,
         cooccurrence_window2, graph_metrics, term_scores, candidate_scores, candidate_scores_no_kpf,
         candidate_scores_wfreq_only, candidate_validity, ngram_freq_by_size, stopword_lookup, supported_languages,
         stopword_set_algebra, resolve_language, title_body, sim_levenshtein, sim_seqm, sim_jaro, trigrams, tfidf,
         topk_overlap, precision_at_k, leading_prefix, bio_decode, latency_percentiles, keywords_seqm, keywords_levs,
-        keywords_jaro, topk_no_dedup, document_results, stable_json, highlight,
+        keywords_jaro, topk_no_dedup, keywords_items_seqm, keywords_items_levs, keywords_items_top, dedup_seqm, dedup_levs,
+        dedup_jaro, candidate_order, document_results, result_documents, stable_json, payload_size, highlight,
+        candidate_counts, text_tfidf, date_sections, html_text,
     ]
     stages = [
         tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges, cooccurrence_window2, graph_metrics,
@@ -285,5 +367,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ngram_freq_by_size, bio_decode,
     ]
     whole = {f"{f.__name__}_documents": of_documents(f) for f in stages}
-    whole |= {f"{f.__name__}_all": of_all_keywords(f) for f in (sim_levenshtein, sim_seqm, trigrams)}
     return {f.__name__: f for f in own} | {"compact_keywords": compact} | whole

@@ -50,3 +50,14 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the cluster has cores, if it is a plain read of fewer: for heavy work on each row.
+
+    A table of more partitions, the result of a shuffle, and a stream stay as they are.
+    """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

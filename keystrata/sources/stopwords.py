@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,29 @@ def languages(words: DataFrame) -> DataFrame:
     return words.select("lang").distinct()
 
 
+#: Words of all lists together that are sent to the workers at most; lists are a few hundred words for each language.
+MAX_LISTED = 1_000_000
+
+
+def by_language(stopwords: DataFrame | Mapping[str, Iterable[str] | str]) -> dict[str, frozenset[str]]:
+    """Lists by two-letter language, as `load` has them; given as a table of lines or by language. More than MAX_LISTED words are an error."""
+    if isinstance(stopwords, DataFrame):
+        rows = [(r["lang"], r["word"]) for r in load(stopwords).limit(MAX_LISTED + 1).collect()]
+    else:
+        lines = ((k, w) for k, v in stopwords.items() for w in (v.split("\n") if isinstance(v, str) else v))
+        rows = [(k[:2].lower(), x) for k, w in lines if (x := w.strip(SPACE).lower())]
+    if len(rows) > MAX_LISTED:
+        raise ValueError(f"more than {MAX_LISTED} stopwords: use KeywordExtractor.extraction, which joins them as a table")
+    out: dict[str, set[str]] = {}
+    for k, w in rows:
+        out.setdefault(k, set()).add(w)
+    return {k: frozenset(v) for k, v in out.items()}
+
+
+def table_of(spark: SparkSession, stopwords: DataFrame | Mapping[str, Iterable[str] | str]) -> DataFrame:
+    return load(stopwords) if isinstance(stopwords, DataFrame) else from_dict(spark, dict(stopwords))
+
+
 def from_dict(spark: SparkSession, lists: dict[str, Iterable[str] | str]) -> DataFrame:
     """Lists by language, each a text of lines or any iterable of words."""
     rows = [(k, w) for k, v in lists.items() for w in (v.split("\n") if isinstance(v, str) else v)]

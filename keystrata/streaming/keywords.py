@@ -12,9 +12,6 @@ def document_stream(spark: SparkSession, path: str, schema, format: str = "parqu
 
 
 def write_keywords(extractor: KeywordExtractor, docs: DataFrame, out: str, checkpoint: str, **columns):
-    """Start writing the keywords of a stream of documents as Parquet, a folder for each batch; a batch that is run
-    again after a failure replaces its own. Without a trigger of its own it ends with what is there."""
-    def sink(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-
-    return extractor.stream(docs, sink, **columns).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start writing the keywords of a stream of documents as Parquet; without a trigger of its own it ends with what is there."""
+    found = extractor.stream(docs, **columns)
+    return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

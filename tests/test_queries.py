@@ -139,11 +139,29 @@ def test_similarities_of_all_keywords(spark, tmp_path):
     want = [tuple(sorted((a, b), key=str.encode)) for i, a in enumerate(KEYWORDS) for b in KEYWORDS[i + 1 :]]
     close = lambda f: sorted((a, b, pytest.approx(f(a, b), abs=2e-9)) for a, b in want)
     assert sorted(rows(spark, tmp_path, "sim_jaro")) == close(jaro)
-    assert sorted(rows(spark, tmp_path, "sim_seqm_all")) == close(seqm)
-    found = rows(spark, tmp_path, "sim_levenshtein_all")
+    assert sorted(rows(spark, tmp_path, "sim_seqm")) == close(seqm)
+    found = rows(spark, tmp_path, "sim_levenshtein")
     assert sorted(r[:2] + r[3:] for r in found) == close(levs) and all(r[2] == levenshtein(*r[:2]) for r in found)
     assert seqm("naïve bayes net", "naïve\xa0bayes net") == 1.0
     terms = {*KEYWORDS, "elsewhere", "größen"}
-    assert sorted(rows(spark, tmp_path, "trigrams_all")) == sorted({(t, t[i : i + 3]) for t in terms for i in range(len(t) - 2)})
-    plain = {"grosse", "ab", "plain words", "plain wards"}
-    assert {r[:2] for r in rows(spark, tmp_path, "sim_seqm")} == {p for p in want if set(p) <= plain}
+    assert sorted(rows(spark, tmp_path, "trigrams")) == sorted({(t, t[i : i + 3]) for t in terms for i in range(len(t) - 2)})
+
+
+def test_sections_and_counts(spark):
+    from keystrata.operators import metrics
+
+    df = spark.createDataFrame([(1, "before 1/2/24 " + "x" * 30 + " 12/31/99\n\n" + "y" * 900 + " "), (2, None), (3, "no date")], "k int, t string")
+    assert [tuple(r) for r in metrics.date_sections(df, "k", "t").collect()] == [(1, "12/31/99", "2099-12-31", "y" * 900)]
+    assert metrics.date_sections(df, "k", "t", least=1).count() == 2
+    texts = spark.createDataFrame([(1, "The cat, the cat is up. It's on!", "en"), (1, None, "en"), (2, "", None)], "doc int, text string, lang string")
+    stop = spark.createDataFrame([("en", "the"), ("en", "is")], "lang string, word string")
+    found = {r["phrase"]: r["n"] for r in metrics.candidate_counts(texts, stop, n=2).collect()}
+    assert found == {"cat": 2, "cat ,": 1, "up .": 1, "it on": 1, "on !": 1}
+
+
+def test_bio(spark):
+    from keystrata.operators import metrics
+
+    rows = [(1, i, w, t) for i, (w, t) in enumerate([("deep", "B"), ("net", "I"), ("is", "O"), ("odd", "I"), ("new", "B-KEY")])]
+    found = metrics.bio_phrases(spark.createDataFrame(rows, "doc int, pos int, word string, tag string")).orderBy("begin").collect()
+    assert [r["phrase"] for r in found] == ["deep net", "odd", "new"]
