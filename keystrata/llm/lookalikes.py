@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keystrata.session import materialize
+
 #: Letters of other scripts that look like a Latin letter, as Unicode's list of confusables has them.
 LOOKALIKES = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝү", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwy"),
@@ -82,6 +84,8 @@ def compositions() -> dict[str, str]:
 #: A run of ASCII that no mark can follow stays in one piece; every other code point is a piece of its own.
 PIECE = r"[\x00-\x7f]+(?![^\x00-\x7f])|(?s:.)"
 KEY = ["h1", "h2"]
+#: The class of what has no width: after all marks, which have classes up to 254.
+NO_WIDTH = 255
 
 
 def _mapping_table(spark: SparkSession) -> DataFrame:
@@ -115,8 +119,9 @@ def normalized_texts(df: DataFrame, text: str) -> DataFrame:
     )
     mapped = pieces.join(F.broadcast(_mapping_table(spark)), "piece", "left")
     own = F.array(F.struct(F.col("piece").alias("s"), F.lit(0).alias("class")))
-    letters = mapped.select(*KEY, "pos", F.posexplode(F.coalesce("to", own)).alias("sub", "x"))
-    letters = letters.select(*KEY, "pos", "sub", "x.s", "x.class")
+    # what has no width leaves an empty piece that parts nothing, so that a text of such signs alone isn't lost
+    letters = mapped.select(*KEY, "pos", F.posexplode_outer(F.coalesce("to", own)).alias("sub", "x"))
+    letters = letters.select(*KEY, "pos", "sub", F.coalesce("x.s", F.lit("")).alias("s"), F.coalesce("x.class", F.lit(NO_WIDTH)).alias("class"))
     in_text = Window.partitionBy(*KEY).orderBy("pos", "sub")
     letters = letters.withColumn("seg", F.sum((F.col("class") == 0).cast("int")).over(in_text))
     ordered = F.array_sort(F.collect_list(F.struct("class", "pos", "sub", "s")))
@@ -127,9 +132,7 @@ def normalized_texts(df: DataFrame, text: str) -> DataFrame:
         F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("seg", "s"))), lambda x: x.s)).alias("n")
     )
     ends = F.regexp_replace(F.regexp_replace("n", r"[ \t]+(?=\n|$)", ""), r"^\s+|\s+$", "")
-    # a text of marks and signs without width alone leaves no letters
-    all_texts = texts.select(*KEY).join(rebuilt.unionByName(plain), KEY, "left")
-    return all_texts.select(*KEY, F.coalesce("n", F.lit("")).alias("n")).select(*KEY, ends.alias("normal"))
+    return rebuilt.unionByName(plain).select(*KEY, ends.alias("normal"))
 
 
 def normalized(df: DataFrame, text: str, out: str = "normal") -> DataFrame:
@@ -151,22 +154,54 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, within: str | None = Non
     (with within) null groups take part in nothing; identical strings are no pair. Pairs are first formed between the
     distinct strings of one look, so copies of one string, however many, are never compared with each other.
     """
-    scope = F.col(within).cast("string") if within else F.lit("")
-    rows = df.select(F.col(key).cast("string").alias("key"), scope.alias("scope"), F.col(text).cast("string").alias("t"))
-    rows = rows.where("key IS NOT NULL AND scope IS NOT NULL AND t IS NOT NULL")
-    forms = normalized_texts(rows, "t").where("normal <> ''")
-    looks = forms.select(*KEY, F.xxhash64("normal").alias("n1"), F.xxhash64("normal", F.lit(17)).alias("n2"))
-    several = looks.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("n1", "n2")
-    looks = looks.join(several, ["n1", "n2"], "left_semi")
-    # one string may be that of many rows: they are spread over salts, with a copy of the few looks for each
-    salts = 16
-    members = rows.select("key", "scope", *_text_key("t")).distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
-    spread = looks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    members = members.join(spread, [*KEY, "salt"]).drop("salt")
+    members = _members(_rows(df, key, text, within))
     variants = members.select("scope", "n1", "n2", *KEY).distinct()
     other = variants.select("scope", "n1", "n2", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     both = variants.join(other, ["scope", "n1", "n2"]).where("h1 <> g1 OR h2 <> g2").select("scope", "h1", "h2", "g1", "g2")
-    a = members.select("scope", *KEY, F.col("key").alias("key_a"))
+    # a string of many rows is spread over salts, with a copy of its few variants for each; where both strings of a pair
+    # have many rows, the pairs themselves are as many, and adaptive execution splits that join
+    salted = both.withColumn("salt", F.explode(_salts()))
+    a = members.select("scope", *KEY, "salt", F.col("key").alias("key_a"))
     b = members.select("scope", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("key").alias("key_b"))
-    pairs = both.join(a, ["scope", *KEY]).join(b, ["scope", "g1", "g2"]).where("key_a < key_b")
+    pairs = salted.join(a, ["scope", *KEY, "salt"]).join(b, ["scope", "g1", "g2"]).where("key_a < key_b")
     return pairs.select("key_a", "key_b").distinct()
+
+
+def lookalike_classes(df: DataFrame, key: str, text: str, within: str | None = None) -> DataFrame:
+    """(key, scope, look, variants, links): the rows whose text some other row writes differently, with the class they are in.
+
+    look names the class; variants is the number of different strings in it, links that of the rows with another string.
+    One row for each key and string: a class of m rows gives m rows, not its pairs. Else as lookalike_pairs.
+    """
+    members = _members(_rows(df, key, text, within))
+    strings = members.groupBy("scope", "n1", "n2", *KEY).agg(F.count(F.lit(1)).alias("own"))
+    looks = strings.groupBy("scope", "n1", "n2").agg(F.sum("own").alias("rows"), F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    sizes = strings.join(looks, ["scope", "n1", "n2"]).withColumn("salt", F.explode(_salts()))
+    found = members.join(sizes, ["scope", "n1", "n2", *KEY, "salt"])
+    return found.select("key", "scope", F.hex("n1").alias("look"), "variants", (F.col("rows") - F.col("own")).alias("links"))
+
+
+SALTS = 16
+
+
+def _salts():
+    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+
+
+def _rows(df: DataFrame, key: str, text: str, within: str | None) -> DataFrame:
+    scope = F.col(within).cast("string") if within else F.lit("")
+    rows = df.select(F.col(key).cast("string").alias("key"), scope.alias("scope"), F.col(text).cast("string").alias("t"))
+    return rows.where("key IS NOT NULL AND scope IS NOT NULL AND t IS NOT NULL")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """(key, scope, h1, h2, n1, n2, salt): the rows whose string has a look that some other string has too, written once.
+
+    h1 and h2 name the string, n1 and n2 the look. One string may be that of many rows: they are spread over salts.
+    """
+    forms = normalized_texts(rows, "t").where("normal <> ''")
+    looks = materialize(forms.select(*KEY, F.xxhash64("normal").alias("n1"), F.xxhash64("normal", F.lit(17)).alias("n2")), "looks")
+    several = looks.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("n1", "n2")
+    spread = looks.join(several, ["n1", "n2"], "left_semi").withColumn("salt", F.explode(_salts()))
+    keyed = rows.select("key", "scope", *_text_key("t")).distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    return materialize(keyed.join(spread, [*KEY, "salt"]), "lookalikes")

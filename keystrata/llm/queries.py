@@ -12,7 +12,7 @@ from keystrata.llm import frequency
 from keystrata.llm.encoding import repaired
 from keystrata.llm.language import language_segments, mislabelled
 from keystrata.llm.leakage import LeakIndex, leaked_items
-from keystrata.llm.lookalikes import lookalike_pairs, normalized
+from keystrata.llm.lookalikes import lookalike_classes, lookalike_pairs, normalized
 from keystrata.llm.sentences import sentence_units
 from keystrata.llm.spans import SharedSpans, shared_span_pairs
 from keystrata.llm.tokenizer import encode_corpus
@@ -46,6 +46,14 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("normal").agg(F.count_distinct("normalizedKeyword").alias("spellings"), F.count_distinct("result_id").alias("results"))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The records whose text looks like another's and differs from it, by class."""
+    bodies = lookalike_classes(table(spark, folder, "input_document"), "id", "body")
+    terms = lookalike_classes(table(spark, folder, "kaggle_excerpt"), "result_id", "normalizedKeyword", within="id")
+    found = [x.select(F.lit(name).alias("tbl"), "key", "look", "variants", "links") for name, x in (("input_document", bodies), ("kaggle_excerpt", terms))]
+    return found[0].unionByName(found[1])
+
+
 def p2_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.term_frequencies(table(spark, folder, "kaggle_excerpt"))
 
@@ -113,6 +121,7 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_classes": p1_classes,
         "p1_terms": p1_terms,
         "p2_found": p2_found,
         "p2_frequencies": p2_frequencies,

@@ -140,9 +140,15 @@ def test_lookalikes(spark):
     assert found == {("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("a2", "a4"), ("a3", "a4")}
     assert lookalikes.lookalike_pairs(df.limit(0), "id", "body").count() == 0
     assert {(r["key_a"], r["key_b"]) for r in lookalikes.lookalike_pairs(df, "id", "body", within="scope").collect()} == found
+    links = {k: sum(k in p for p in found) for k in ("a1", "a2", "a3", "a4")}
+    for within in (None, "scope"):
+        classes = lookalikes.lookalike_classes(df, "id", "body", within).collect()
+        assert {r["key"]: r["links"] for r in classes} == links and {r["variants"] for r in classes} == {3} and len({r["look"] for r in classes}) == 1
     forms = {r["id"]: r["normal"] for r in lookalikes.normalized(df.where("id IS NOT NULL"), "body").collect()}
     assert forms["a1"] == forms["a3"] == "Café town" and forms["n1"] is None and forms["n2"] == "" and forms["b3"] == "Café town²"
     marks = spark.createDataFrame([("x̣́",), ("x̣́",), ("ｶﾞ",), ("ガ",), ("é" * 20_000,)], "t string")
+    none = spark.createDataFrame([("\u200b\u200b",), ("e\u200b\u0301",), ("\u00e9",)], "t string")
+    assert sorted(r["normal"] for r in lookalikes.normalized(none, "t").collect()) == ["", "\u00e9", "\u00e9"]
     assert marks.count() == 5 and lookalikes.normalized(marks, "t").select("normal").distinct().count() == 3
 
 
