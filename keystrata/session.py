@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage of df by writing it once as a table in the shared folder and reading it back.
 
-    The table survives the loss of executors and is deleted when the application ends.
+    The table survives the loss of executors and is deleted when the application ends, or by discard.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keystrata/{name}-{uuid.uuid4().hex}"
@@ -49,7 +49,16 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._keystrata_table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize made, once what was made of them is itself written."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._keystrata_table)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
