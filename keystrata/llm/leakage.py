@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from keystrata.session import materialize
 
 WORD = r"[\p{L}\p{N}]+"
-#: Rows up to which a table of a few numbers a row, or of single words, is broadcast: about 16 MB. Beyond it, joins shuffle.
-BROADCAST_ROWS = 250_000
+#: Rows of a few numbers, and bytes of words beside them, up to which a table is broadcast: about 16 MB. Beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8_000_000
 #: Of an item's looked-up places, those that a proximity match is sure to have: more make for fewer bands to count out.
 SURE = 4
 
@@ -25,9 +25,13 @@ def words(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.withColumn("word", F.lower("word"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, words: str | None = None) -> DataFrame:
+    """df, broadcast if a count shows that it is small; words names a column of strings, whose bytes count too."""
+    if words:
+        rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(words)), F.lit(0))).first()
+    else:
+        rows, size = df.limit(BROADCAST_ROWS + 1).count(), 0
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 class LeakIndex:
@@ -44,7 +48,7 @@ class LeakIndex:
         of_items = words(asked, ["item", "v"], "text")
         of_items = of_items.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("v")))
         self.item_words = materialize(of_items.withColumn("w", F.xxhash64("word")), "item-words")
-        vocabulary = _small(self.item_words.select("word", "w").distinct())
+        vocabulary = _small(self.item_words.select("word", "w").distinct(), "word")
         texts = corpus.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
         of_texts = words(texts.withColumn("t", F.xxhash64("text")), ["doc", "t"], "text")
         self.postings = materialize(of_texts.join(vocabulary, "word").select("w", "doc", "t", "pos"), "postings")

@@ -118,6 +118,16 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_text"), F.col("shared").alias("n_shared"), "copies")
 
 
+def p8_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    found = SharedSpans(table(spark, folder, "documents")).stretches()
+    return found.select(F.col("doc").alias("doc_id"), F.col("begin").cast("long").alias("begin_at"), F.col("end").cast("long").alias("end_at"), F.col("longest").cast("long").alias("longest"))
+
+
+def p8_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of p8_found without its pairs: those that hold one window, group by group."""
+    return SharedSpans(table(spark, folder, "documents")).groups().select(F.hex("k").alias("span"), F.col("doc").alias("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -135,7 +145,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_near": p7_near,
         "p8_found": p8_found,
+        "p8_groups": p8_groups,
         "p8_shared": p8_shared,
+        "p8_stretches": p8_stretches,
     }
 
 

@@ -17,10 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.session import materialize
+from keystrata.session import discard, materialize
 
 #: Characters hashed at a time, which bounds memory; a longer text is hashed whole.
 SLICE = 1_000_000
+#: Places of one text whose surroundings are sent on at a time.
+AT_A_TIME = 5_000
 GRAM = 32
 #: Rows of a few numbers up to which a table is broadcast: about 16 MB. Beyond it, joins shuffle.
 BROADCAST_ROWS = 250_000
@@ -112,15 +114,18 @@ def _windows(least: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, items: str | None = None) -> DataFrame:
+    """df, broadcast if a count shows that it is small; items names an array whose elements count."""
+    size = df.agg(F.sum(F.size(items))).first()[0] or 0 if items else df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
-def _recurring(df: DataFrame, by: str) -> DataFrame:
-    """The rows whose value of `by` occurs in more than one class; counted with a partial aggregate before the shuffle."""
+def _recurring(df: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose value of `by` occurs in more than one class, and the table of those values; counted with a partial
+    aggregate before the shuffle."""
     more = df.groupBy(by).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(by)
-    return df.join(_small(materialize(more, "recurring")), by, "left_semi")
+    more = materialize(more, "recurring")
+    return df.join(_small(more), by, "left_semi"), more
 
 
 class SharedSpans:
@@ -146,23 +151,30 @@ class SharedSpans:
         """(k, c, start): the windows of `least` characters that more than one class holds, k standing for their text."""
         least, half = self.least, self.least // 2
         chosen = self.rows.select("c", "text").mapInArrow(_windows(least), "c long, pos int, short long, double long")
+        # each level is dropped as soon as the next is written
         first = materialize(chosen, "windows")
-        second = _recurring(first, "short")
-        third = materialize(_recurring(second.select("c", "pos", "double").distinct(), "double").select("c", "pos"), "half-windows")
-        places = third.groupBy("c").agg(F.sort_array(F.collect_set("pos")).alias("places"))  # of one text
+        second, shorts = _recurring(first, "short")
+        second = materialize(second.select("c", "pos", "double").distinct(), "second")
+        discard(first, shorts)
+        third, doubles = _recurring(second, "double")
         one = self.rows.groupBy("c").agg(F.min("doc").alias("doc"))
-        wanted = _small(materialize(places.join(one, "c"), "wanted"))
-        about = self.rows.join(wanted, ["c", "doc"]).select("c", "text", "places")
+        places = third.groupBy("c").agg(F.sort_array(F.collect_set("pos")).alias("places"))  # of one text
+        wanted = materialize(places.join(one, "c"), "wanted")
+        discard(second, doubles)
+        about = self.rows.join(_small(wanted, "places"), ["c", "doc"]).select("c", "text", "places")
         step = max(1, half // 4)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for c, text, places in zip(*(x.to_pylist() for x in batch.columns)):
-                    rows = [(c, p, text[max(0, p - half) : p], text[p : p + least]) for p in places]
-                    yield pa.RecordBatch.from_pylist([dict(zip(("c", "pos", "before", "after"), r)) for r in rows], schema=cut_schema)
+                    for i in range(0, len(places), AT_A_TIME):
+                        some = places[i : i + AT_A_TIME]
+                        columns = [[c] * len(some), some, [text[max(0, p - half) : p] for p in some], [text[p : p + least] for p in some]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, cut_schema)], schema=cut_schema)
 
         cut_schema = pa.schema([("c", pa.int64()), ("pos", pa.int32()), ("before", pa.string()), ("after", pa.string())])
         around = materialize(about.mapInArrow(cut, "c long, pos int, before string, after string"), "around")
+        discard(wanted)
 
         def nearly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """What all full windows of a stretch of shifts have in common; it lies in the text if any of them does."""
@@ -194,19 +206,66 @@ class SharedSpans:
         near_schema = pa.schema([("k", pa.binary()), ("c", pa.int64()), ("pos", pa.int32()), ("shift", pa.int32())])
         full_schema = pa.schema([("k", pa.binary()), ("c", pa.int64()), ("start", pa.int32())])
         close = materialize(around.mapInArrow(nearly, "k binary, c long, pos int, shift int"), "nearly")
-        close = _recurring(close, "k").groupBy("c", "pos").agg(F.collect_set("shift").alias("shifts"))  # a few for each place
-        full = around.join(_small(materialize(close, "close")), ["c", "pos"]).select("c", "pos", "before", "after", "shifts")
-        return _recurring(materialize(full.mapInArrow(fully, "k binary, c long, start int").distinct(), "full"), "k")
-
-    def class_pairs(self, windows: DataFrame) -> DataFrame:
-        """(c_a, c_b), c_a < c_b: the classes that have a span in common, each pair once.
-
-        Windows held by the same classes, as the many of one long span are, are joined through one of them.
+        kept, keys = _recurring(close, "k")
+        kept = materialize(kept.groupBy("c", "pos").agg(F.collect_set("shift").alias("shifts")), "close")  # a few for each place
+        discard(close, keys)
+        full = around.join(_small(kept, "shifts"), ["c", "pos"]).select("c", "pos", "before", "after", "shifts")
+        full = materialize(full.mapInArrow(fully, "k binary, c long, start int").distinct(), "full")
+        discard(around, kept)
+        return _recurring(full, "k")[0]
+
+    def held(self, windows: DataFrame) -> DataFrame:
+        """(k, c): the classes that hold each of some windows, such that any two classes that share one share one of these.
+
+        Of windows held by the same classes, as the many of one long span are, there is one.
         """
         seeds = [F.sum(F.xxhash64("c", F.lit(s)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"s{s}") for s in (1, 2)]
-        held = windows.select("k", "c").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("m"), *seeds)
+        by_class = windows.select("k", "c").distinct()
+        held = by_class.groupBy("k").agg(F.count(F.lit(1)).alias("m"), *seeds)
         one = held.groupBy("m", "s1", "s2").agg(F.min("k").alias("k")).select("k")
-        kept = windows.select("k", "c").distinct().join(one, "k", "left_semi")
+        return by_class.join(one, "k", "left_semi")
+
+    def groups(self) -> DataFrame:
+        """(k, doc): the texts that hold each such window, a row for each text and not for each pair of them."""
+        return self.held(self.windows()).join(self.members().select("c", "doc"), "c").select("k", "doc").distinct()
+
+    def levels(self, windows: DataFrame) -> DataFrame:
+        """(c, start, length): of each window of `least` characters that recurs, the longest of `least` times a power of two
+        that begins there and recurs, found by doubling until none is left: two windows of one length that follow upon one
+        another make one of twice the length."""
+        now, length, found = materialize(windows.select("k", "c", "start").distinct(), "level"), self.least, None
+        while True:
+            rows = now.select("c", "start", F.lit(length).alias("length"))
+            found = rows if found is None else found.unionByName(rows)
+            after = now.select("c", (F.col("start") - length).alias("start"), F.col("k").alias("next"))
+            longer = now.join(after, ["c", "start"]).select(F.unhex(F.sha2(F.concat("k", "next"), 256)).alias("k"), "c", "start")
+            longer = materialize(longer, "doubled")
+            kept = materialize(_recurring(longer, "k")[0], "level")
+            discard(longer)
+            if kept.isEmpty():
+                return found.groupBy("c", "start").agg(F.max("length").alias("length"))
+            now, length = kept, 2 * length
+
+    def stretches(self) -> DataFrame:
+        """(doc, begin, end, longest): the maximal stretches of each text in which every `least` characters recur in other
+        texts, and the longest window in each, of `least` times a power of two, that recurs as a whole.
+
+        A text with exact copies is one stretch, as long as itself.
+        """
+        spans = self.levels(self.windows())
+        order = Window.partitionBy("c").orderBy("start")
+        fresh = (F.col("start") > F.coalesce(F.lag("start").over(order), F.lit(-self.least - 1)) + self.least).cast("int")
+        islands = spans.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
+        made = islands.groupBy("c", "island").agg(F.min("start").alias("begin"), (F.max("start") + self.least).alias("end"), F.max("length").alias("longest"))
+        members = self.members()
+        copies = members.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c")
+        own = members.join(copies, "c", "left_semi").select("doc", F.lit(0).alias("begin"), F.col("n").alias("end"), F.col("n").alias("longest"))
+        others = members.join(copies, "c", "left_anti").join(made, "c").select("doc", "begin", "end", "longest")
+        return own.unionByName(others)
+
+    def class_pairs(self, windows: DataFrame) -> DataFrame:
+        """(c_a, c_b), c_a < c_b: the classes that have a span in common, each pair once."""
+        kept = self.held(windows)
         a, b = kept.withColumnRenamed("c", "c_a"), kept.withColumnRenamed("c", "c_b")
         return a.join(b, "k").where("c_a < c_b").select("c_a", "c_b").distinct()
 

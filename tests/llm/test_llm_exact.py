@@ -122,6 +122,21 @@ def test_shared_spans_equal_brute_force(spark):
     assert counts == {1: (202, 200), 2: (202, 200), 3: (60, 50)}
 
 
+def test_groups_and_stretches(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh é😀\n") for _ in range(n))
+    long, short = text(400), text(50)
+    docs = [(1, text(9) + long + text(9)), (2, long[:210] + text(30)), (3, text(70) + short), (4, short + text(3) + long[:170]), (5, text(300)), (6, "q" * 10 + text(40)), (7, text(80)), (8, None)]
+    docs.append((9, docs[6][1]))
+    spans_of = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), least=40)
+    found = {tuple(r) for r in spans_of.stretches().collect()}
+    assert found == {(1, 9, 219, 160), (2, 0, 210, 160), (3, 70, 120, 40), (4, 0, 50, 40), (4, 53, 223, 160), (7, 0, 80, 80), (9, 0, 80, 80)}
+    groups = {}
+    for r in spans_of.groups().collect():
+        groups.setdefault(bytes(r["k"]), set()).add(r["doc"])
+    assert {(a, b) for g in groups.values() for a in g for b in g if a < b} == {(1, 2), (1, 4), (2, 4), (3, 4)}
+
+
 def test_window_places_are_common():
     rng = np.random.default_rng(4)
     least = 64
