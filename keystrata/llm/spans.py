@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from keystrata.session import discard, materialize
 
-#: Characters hashed at a time, which bounds memory; a longer text is hashed whole.
-SLICE = 1_000_000
+#: Characters hashed at a time: as many as a core's cache holds the arrays of. A longer text is hashed whole.
+SLICE = 50_000
 #: Places of one text whose surroundings are sent on at a time.
 AT_A_TIME = 5_000
 GRAM = 32
@@ -29,6 +29,9 @@ BROADCAST_ROWS = 250_000
 M1, M2, BASE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93
 
 
+_digest = xxhash.xxh3_128_digest
+
+
 def _mix(h: np.ndarray, by: int = M2) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h *= np.uint64(by)
@@ -178,30 +181,37 @@ class SharedSpans:
 
         def nearly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """What all full windows of a stretch of shifts have in common; it lies in the text if any of them does."""
+            stretches = [(shift, min(half, shift + step - 1)) for shift in range(0, half + 1, step)]
             for batch in batches:
-                out: dict[str, list] = {"k": [], "c": [], "pos": [], "shift": []}
+                keys, cs, at, shifts = [], [], [], []
                 for c, p, before, after in zip(*(x.to_pylist() for x in batch.columns)):
-                    whole = before + after
-                    for shift in range(0, half + 1, step):
-                        lo, hi = len(before) - shift, len(before) - min(half, shift + step - 1) + least
-                        if lo >= 0 and hi <= len(whole):
-                            for name, value in zip(out, (_digest(whole[lo:hi]), c, p, shift)):
-                                out[name].append(value)
-                yield pa.RecordBatch.from_pydict(out, schema=near_schema)
+                    left, data = len(before), memoryview((before + after).encode("utf-32-le", "replace"))
+                    n = len(data) // 4
+                    for shift, last in stretches:
+                        lo, hi = left - shift, left - last + least
+                        if lo >= 0 and hi <= n:
+                            keys.append(_digest(data[4 * lo : 4 * hi]))
+                            cs.append(c)
+                            at.append(p)
+                            shifts.append(shift)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, cs, at, shifts), near_schema)], schema=near_schema)
 
         def fully(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: dict[str, list] = {"k": [], "c": [], "start": []}
+                keys, cs, starts = [], [], []
                 seen: set[tuple[int, int]] = set()  # neighbouring places share most of their windows
                 for c, p, before, after, shifts in zip(*(x.to_pylist() for x in batch.columns)):
-                    whole = before + after
-                    for s in (s for shift in shifts for s in range(shift, min(half, shift + step - 1) + 1)):
-                        lo = len(before) - s
-                        if lo >= 0 and lo + least <= len(whole) and (c, p - s) not in seen:
-                            seen.add((c, p - s))
-                            for name, value in zip(out, (_digest(whole[lo : lo + least]), c, p - s)):
-                                out[name].append(value)
-                yield pa.RecordBatch.from_pydict(out, schema=full_schema)
+                    left, data = len(before), memoryview((before + after).encode("utf-32-le", "replace"))
+                    n = len(data) // 4
+                    for shift in shifts:
+                        for s in range(max(shift, left + least - n), min(left, half, shift + step - 1) + 1):
+                            at = c, p - s
+                            if at not in seen:
+                                seen.add(at)
+                                keys.append(_digest(data[4 * (left - s) : 4 * (left - s + least)]))
+                                cs.append(c)
+                                starts.append(p - s)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, cs, starts), full_schema)], schema=full_schema)
 
         near_schema = pa.schema([("k", pa.binary()), ("c", pa.int64()), ("pos", pa.int32()), ("shift", pa.int32())])
         full_schema = pa.schema([("k", pa.binary()), ("c", pa.int64()), ("start", pa.int32())])
@@ -296,10 +306,6 @@ class SharedSpans:
         return rows.select("doc", "n", shared.cast("long").alias("shared"), "copies")
 
 
-def _digest(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "replace"))
-
-
 def shared_span_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400) -> DataFrame:
     """(key_a, key_b), key_a < key_b: rows whose texts have a verbatim span of `least` characters or more in common.
 
