@@ -152,6 +152,10 @@ class SharedSpans:
 
     def windows(self) -> DataFrame:
         """(k, c, start): the windows of `least` characters that more than one class holds, k standing for their text."""
+        return _recurring(self._candidates(), "k")[0]
+
+    def _candidates(self) -> DataFrame:
+        """(k, c, start): windows of `least` characters, all that more than one class holds among them, some of them repeated."""
         least, half = self.least, self.least // 2
         chosen = self.rows.select("c", "text").mapInArrow(_windows(least), "c long, pos int, short long, double long")
         # each level is dropped as soon as the next is written
@@ -220,9 +224,9 @@ class SharedSpans:
         kept = materialize(kept.groupBy("c", "pos").agg(F.collect_set("shift").alias("shifts")), "close")  # a few for each place
         discard(close, keys)
         full = around.join(_small(kept, "shifts"), ["c", "pos"]).select("c", "pos", "before", "after", "shifts")
-        full = materialize(full.mapInArrow(fully, "k binary, c long, start int").distinct(), "full")
+        full = materialize(full.mapInArrow(fully, "k binary, c long, start int"), "full")
         discard(around, kept)
-        return _recurring(full, "k")[0]
+        return full
 
     def held(self, windows: DataFrame) -> DataFrame:
         """(k, c): the classes that hold each of some windows, such that any two classes that share one share one of these.
@@ -230,14 +234,13 @@ class SharedSpans:
         Of windows held by the same classes, as the many of one long span are, there is one.
         """
         seeds = [F.sum(F.xxhash64("c", F.lit(s)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"s{s}") for s in (1, 2)]
-        by_class = windows.select("k", "c").distinct()
-        held = by_class.groupBy("k").agg(F.count(F.lit(1)).alias("m"), *seeds)
-        one = held.groupBy("m", "s1", "s2").agg(F.min("k").alias("k")).select("k")
-        return by_class.join(one, "k", "left_semi")
+        held = windows.select("k", "c").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("m"), *seeds)
+        one = materialize(held.where("m > 1").groupBy("m", "s1", "s2").agg(F.min("k").alias("k")).select("k"), "held")
+        return windows.select("k", "c").join(_small(one), "k", "left_semi").distinct()
 
     def groups(self) -> DataFrame:
         """(k, doc): the texts that hold each such window, a row for each text and not for each pair of them."""
-        return self.held(self.windows()).join(self.members().select("c", "doc"), "c").select("k", "doc").distinct()
+        return self.held(self._candidates()).join(self.members().select("c", "doc"), "c").select("k", "doc").distinct()
 
     def levels(self, windows: DataFrame) -> DataFrame:
         """(c, start, length): of each window of `least` characters that recurs, the longest of `least` times a power of two
@@ -282,7 +285,7 @@ class SharedSpans:
     def pairs(self) -> DataFrame:
         """(a, b), a < b: every two keys whose texts have a span in common, exact copies of one text among them."""
         members = self.members().select("c", "doc")
-        classes = self.class_pairs(self.windows())
+        classes = self.class_pairs(self._candidates())
         left, right = (members.select(F.col("c").alias(f"c_{x}"), F.col("doc").alias(x)) for x in "ab")
         across = classes.join(left, "c_a").join(right, "c_b")
         several = members.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("c").alias("c_a"))
