@@ -3,12 +3,80 @@
 from __future__ import annotations
 
 WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-#: The stages over eval_item, whose texts are single lines without abbreviations, quotations or contractions.
+#: The stages read raw: (item_id, key, sent, sentences, word, pos_sent). The texts of eval_item are single lines without
+#: abbreviations, quotations or contractions; those of documents are split as any text is.
 WORD = r"\p{L}[\p{L}\p{M}\p{Nd}]*(?:(?:[.''’-]+|…+)[\p{L}\p{M}\p{Nd}]+)*|\p{Nd}+(?:[.,]\p{Nd}+)*|[^\s]"
 MARK = r"[!-/:-@\[-`{-~]"
 
 
-def stages(window: int = 1, n: int = 3, features: str = "wrel wfreq wspread wcase wpos KPF") -> str:
+ITEM_TOKENS = f"""
+    sentence AS (
+        SELECT item_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent, len(s) AS sentences
+        FROM (SELECT item_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM eval_item)
+    ), raw AS (
+        SELECT item_id, 'en' AS key, sent, sentences, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos_sent
+        FROM (SELECT *, regexp_extract_all(sentence, '{WORD}') AS t FROM sentence)
+    )"""
+BLANK, CLOSERS = WHITE[1:-1], "[\"'')\\]}»”’]"
+FILTERED = f"""array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^{WHITE}*[A-Z]') THEN chr(10) || chr(10) ELSE ' ' END || replace(x, chr(9), ' ')), '')"""
+ABBREVIATIONS = "('dr', 'mr', 'mrs', 'ms', 'prof', 'sr', 'sra', 'jr', 'st', 'vs', 'etc', 'e.g', 'i.e', 'u.s', 'u.k', 'no', 'nos')"
+LETTERS = r"\p{L}\p{M}\p{Nd}"
+#: Sentences by the pieces between marks: a mark with what closes it ends one unless what stands about it says otherwise.
+DOCUMENT_TOKENS = f"""
+    piece AS (
+        SELECT item_id, key, unnest(p) AS t, generate_subscripts(p, 1) AS i
+        FROM (SELECT doc_id AS item_id, lower(left(coalesce(lang, 'en'), 2)) AS key, regexp_extract_all({FILTERED}, '\\n\\n|!+{CLOSERS}*\\.?|\\?+{CLOSERS}*\\.?|\\.+{CLOSERS}*|[^.!?\\n]+|\\n') AS p FROM documents WHERE text IS NOT NULL)
+    ), about AS (
+        SELECT *, lag(t) OVER w AS p1, lag(t, 2) OVER w AS p2, lag(t, 3) OVER w AS p3, lead(t) OVER w AS n1, lead(t, 2) OVER w AS n2, regexp_matches(t, '^[.!?]') AS mark,
+            coalesce(bool_or(regexp_matches(t, '[^{BLANK}]')) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS more
+        FROM piece WINDOW w AS (PARTITION BY item_id ORDER BY i)
+    ), near AS (
+        SELECT *, coalesce(right(p1, 1), '') AS b, CASE WHEN length(t) > 1 THEN substring(t, 2, 1) ELSE coalesce(left(n1, 1), '') END AS a,
+            length(t) > 1 OR regexp_matches(coalesce(left(n1, 1), ''), '{WHITE}') AS apart FROM about
+    ), judged AS (
+        SELECT *, mark AND (NOT more OR apart AND (t[1] <> '.' OR NOT (
+            regexp_matches(b, '\\p{{Nd}}') AND regexp_matches(a, '\\p{{Nd}}')
+            OR coalesce(regexp_full_match(p1, '\\p{{L}}') AND p2 = '.' AND regexp_matches(p3, '(^|[^{LETTERS}\\p{{Pc}}])\\p{{L}}$'), false)
+            OR coalesce(length(t) = 1 AND regexp_matches(b, '\\p{{L}}') AND regexp_full_match(n1, '\\p{{L}}') AND n2[1] = '.', false)
+            OR lower(regexp_extract(coalesce(p1, ''), '[{LETTERS}]+$')) IN {ABBREVIATIONS}))) AS ends, more AND t[1] = '.' AND a = '»' AS quoted FROM near
+    ), first AS (
+        SELECT *, coalesce(sum(CAST(ends AND NOT quoted OR t = chr(10) || chr(10) AS INT)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g0 FROM judged
+    ), settled AS (
+        SELECT *, ends AND NOT (quoted AND regexp_matches(string_agg(t, '') OVER (PARTITION BY item_id, g0 ORDER BY i), '^{WHITE}*«')) AS stop FROM first
+    ), grouped AS (
+        SELECT *, coalesce(sum(CAST(stop OR t = chr(10) || chr(10) AS INT)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM settled
+    ), sentence AS (
+        SELECT item_id, any_value(key) AS key, g, regexp_replace(string_agg(t, '' ORDER BY i) FILTER (t <> chr(10) || chr(10)), '^{WHITE}+|{WHITE}+$', '', 'g') AS sentence FROM grouped GROUP BY item_id, g
+    ), part AS (
+        SELECT item_id, key, g, unnest(t) AS t, generate_subscripts(t, 1) AS k FROM (SELECT *, regexp_extract_all(sentence, '{WORD.removesuffix("[^\\s]")}[^{BLANK}]') AS t FROM sentence)
+    ), beside AS (
+        SELECT *, lead(t) OVER w AS n1, lead(t, 2) OVER w AS n2, lead(t, 3) OVER w AS n3 FROM part WINDOW w AS (PARTITION BY item_id, g ORDER BY k)
+    ), taking AS (
+        SELECT *, coalesce(CASE WHEN t = '…' AND regexp_full_match(n1, '{CLOSERS}') THEN 'whole'
+            WHEN n1 = '.' AND t <> '.' AND (contains(t, '.') OR lower(t) IN {ABBREVIATIONS} OR regexp_full_match(n2, '{CLOSERS}') AND n3 IS NOT NULL) THEN 'dot'
+            WHEN n1 = '؟' AND regexp_matches(t, '[{LETTERS}]$') THEN 'whole' END, '') AS takes FROM beside
+    ), free AS (
+        SELECT *, coalesce(lag(takes) OVER (PARTITION BY item_id, g ORDER BY k), '') <> '' AS taken FROM taking
+    ), dots AS (
+        SELECT *, t = '.' AND NOT taken AS dot, k - sum(CAST(t = '.' AND NOT taken AS INT)) OVER (PARTITION BY item_id, g ORDER BY k) AS island FROM free
+    ), runs AS (
+        SELECT *, count(*) FILTER (dot) OVER (PARTITION BY item_id, g, island) AS run, min(k) FILTER (dot) OVER (PARTITION BY item_id, g, island) AS first FROM dots
+    ), whole AS (
+        SELECT item_id, key, g, k, takes, CASE WHEN dot AND run >= 3 THEN repeat('.', run) WHEN takes = 'dot' THEN t || '.' WHEN takes = 'whole' THEN t || n1 ELSE t END AS t FROM runs WHERE NOT taken AND NOT (dot AND run >= 3 AND k > first)
+    ), halves AS (
+        SELECT *, regexp_extract(t, '(?s)^(.*)([''’])([^''’]*)$', ['head', 'mark', 'tail']) AS x FROM whole
+    ), cut AS (
+        SELECT item_id, key, g, k, unnest(c) AS word, generate_subscripts(c, 1) AS c FROM (SELECT *, CASE WHEN takes = 'whole' OR x.head = '' THEN [t]
+            WHEN lower(x.tail) IN ('s', 're', 've', 'll', 'd', 'm') THEN [x.head, x.mark || x.tail]
+            WHEN lower(x.tail) = 't' AND length(x.head) > 1 AND lower(right(x.head, 1)) = 'n' THEN [left(x.head, length(x.head) - 1), right(x.head, 1) || x.mark || x.tail] ELSE [t] END AS c FROM halves)
+    ), kept AS (
+        SELECT *, dense_rank() OVER (PARTITION BY item_id ORDER BY g) - 1 AS sent FROM cut WHERE NOT (regexp_matches(word, '^[''’]') AND length(word) > 1)
+    ), raw AS (
+        SELECT item_id, key, sent, max(sent) OVER (PARTITION BY item_id) + 1 AS sentences, word, row_number() OVER (PARTITION BY item_id, sent ORDER BY k, c) - 1 AS pos_sent FROM kept
+    )"""
+
+
+def stages(window: int = 1, n: int = 3, features: str = "wrel wfreq wspread wcase wpos KPF", tokens: str = ITEM_TOKENS) -> str:
     on = features.split()
 
     def feature(name: str, sql: str, off: str) -> str:
@@ -32,24 +100,18 @@ def stages(window: int = 1, n: int = 3, features: str = "wrel wfreq wspread wcas
         )
     lags = ", ".join(["struct_pack(word, norm, tag, h, stopword, tf, w_in) AS l0", *(f"lag(struct_pack(word, norm, tag, h, stopword, tf, w_in), {k}) OVER b AS l{k}" for k in range(1, n))])
     return f"""
-    WITH sentence AS (
-        SELECT item_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent, len(s) AS sentences
-        FROM (SELECT item_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM eval_item)
-    ), raw AS (
-        SELECT item_id, sent, sentences, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos_sent
-        FROM (SELECT *, regexp_extract_all(sentence, '{WORD}') AS t FROM sentence)
-    ), marked AS (
+    WITH {tokens}, marked AS (
         SELECT *, regexp_full_match(word, '{MARK}+') AS mark,
                CAST(sum(CAST(regexp_full_match(word, '{MARK}+') AS INT)) OVER (PARTITION BY item_id, sent ORDER BY pos_sent) AS INT) AS block FROM raw
     ), token AS (
-        SELECT item_id, CAST(sent AS INT) AS sent, CAST(pos_sent AS INT) AS pos_sent, block, sentences, word, lower(word) AS norm,
+        SELECT item_id, key, CAST(sent AS INT) AS sent, CAST(pos_sent AS INT) AS pos_sent, block, sentences, word, lower(word) AS norm,
                CAST(row_number() OVER (PARTITION BY item_id ORDER BY sent, pos_sent) - 1 AS INT) AS pos_text,
                CASE WHEN length(lower(word)) > 3 AND ends_with(lower(word), 's') THEN left(lower(word), length(word) - 1) ELSE lower(word) END AS term
         FROM marked WHERE NOT mark
     ), list AS (
-        SELECT DISTINCT lower(regexp_replace(word, '^{WHITE}+|{WHITE}+$', '', 'g')) AS w FROM stopwords WHERE lower(left(lang, 2)) = 'en' AND word IS NOT NULL
+        SELECT DISTINCT lower(left(lang, 2)) AS key, lower(regexp_replace(word, '^{WHITE}+|{WHITE}+$', '', 'g')) AS w FROM stopwords WHERE lang IS NOT NULL AND word IS NOT NULL
     ), tags AS (
-        SELECT *, norm IN (SELECT w FROM list WHERE w <> '') OR term IN (SELECT w FROM list WHERE w <> '') OR length(regexp_replace(term, '{MARK}', '', 'g')) < 3 AS stop_form,
+        SELECT *, (key, norm) IN (SELECT (key, w) FROM list WHERE w <> '') OR (key, term) IN (SELECT (key, w) FROM list WHERE w <> '') OR length(regexp_replace(term, '{MARK}', '', 'g')) < 3 AS stop_form,
             CASE WHEN regexp_full_match(replace(word, ',', ''), '[0-9]+') OR regexp_full_match(regexp_replace(replace(word, ',', ''), '\\.', ''), '[0-9]+') THEN 'd'
                  WHEN regexp_matches(word, '\\p{{Nd}}') = regexp_matches(word, '\\p{{L}}') OR len(regexp_extract_all(word, '{MARK}')) > 1 THEN 'u'
                  WHEN NOT regexp_matches(word, '\\p{{Ll}}|\\p{{Lo}}|\\p{{Lm}}|\\p{{Lt}}') AND regexp_matches(word, '\\p{{Lu}}') THEN 'a'
@@ -71,12 +133,12 @@ def stages(window: int = 1, n: int = 3, features: str = "wrel wfreq wspread wcas
         SELECT item_id, term, count(r) AS wdr, CAST(coalesce(sum(r), 0) AS BIGINT) AS wir, count(l) AS wdl, CAST(coalesce(sum(l), 0) AS BIGINT) AS wil
         FROM (SELECT item_id, src AS term, weight AS r, NULL AS l FROM edges UNION ALL SELECT item_id, dst, NULL, weight FROM edges) GROUP BY 1, 2
     ), featured AS (
-        SELECT t.*, {feature("wrel", "(0.5 + CASE WHEN coalesce(wil, 0) = 0 THEN 0 ELSE wdl / wil END * (tf / max_tf)) + (0.5 + CASE WHEN coalesce(wir, 0) = 0 THEN 0 ELSE wdr / wir END * (tf / max_tf))", "CAST(1 AS DOUBLE)")},
+        SELECT t.*, avg_tf, {feature("wrel", "(0.5 + CASE WHEN coalesce(wil, 0) = 0 THEN 0 ELSE wdl / wil END * (tf / max_tf)) + (0.5 + CASE WHEN coalesce(wir, 0) = 0 THEN 0 ELSE wdr / wir END * (tf / max_tf))", "CAST(1 AS DOUBLE)")},
             {feature("wfreq", "tf / (avg_tf + std_tf)", "CAST(0 AS DOUBLE)")}, {feature("wspread", "in_sentences / t.sentences", "CAST(0 AS DOUBLE)")},
             {feature("wcase", "greatest(tf_a, tf_n) / (1 + ln(tf))", "CAST(0 AS DOUBLE)")}, {feature("wpos", "ln(ln(3 + list_median(ids)))", "CAST(1 AS DOUBLE)")}
         FROM terms t JOIN stats USING (item_id) LEFT JOIN metrics USING (item_id, term)
     ), scores AS (
-        SELECT *, wpos * wrel / (wcase + wfreq / wrel + wspread / wrel) AS h FROM featured
+        SELECT *, CASE WHEN avg_tf IS NULL THEN 0 ELSE wpos * wrel / (wcase + wfreq / wrel + wspread / wrel) END AS h FROM featured
     ), weighted AS (
         SELECT t.*, s.h, s.stopword, s.tf, coalesce(e.weight, 0) AS w_in
         FROM (SELECT *, lag(term) OVER (PARTITION BY item_id, sent, block ORDER BY pos_text) AS prev FROM tags) t
@@ -169,14 +231,14 @@ RESULTS = """
     ranked AS (SELECT id, item, row_number() OVER (PARTITION BY id ORDER BY score, item) AS pos FROM best),"""
 
 
-def item_keywords(likeness: str | None, limit: float = 1.0, top: int = 20) -> str:
-    """Keywords of the evaluation texts: candidates in order, scores closer than 1e-15 by place, without near duplicates."""
+def item_keywords(likeness: str | None, limit: float = 1.0, top: int = 20, tokens: str = ITEM_TOKENS) -> str:
+    """Keywords of up to two words: candidates in order, scores closer than 1e-15 by place, without near duplicates."""
     rest = greedy(likeness, limit, top) if likeness else f" taken AS (SELECT id, item, pos AS rank FROM ranked WHERE pos <= {top})"
     return (
-        stages(n=2).replace("WITH sentence AS", "WITH RECURSIVE sentence AS", 1)
+        stages(n=2, tokens=tokens).replace("WITH ", "WITH RECURSIVE ", 1)
         + f""", apart AS (SELECT *, CAST(h - lag(h, 1, -1) OVER (PARTITION BY item_id ORDER BY h, ord) > 1e-15 AS INT) AS new FROM candidates WHERE clean),
-        runs AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY h, ord) AS run FROM apart),
-        ranked AS (SELECT item_id AS id, norm_kw AS item, row_number() OVER (PARTITION BY item_id ORDER BY run, ord) AS pos FROM runs),{rest},
+        tied AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY h, ord) AS run FROM apart),
+        ranked AS (SELECT item_id AS id, norm_kw AS item, row_number() OVER (PARTITION BY item_id ORDER BY run, ord) AS pos FROM tied),{rest},
         sents AS (SELECT k.id, k.item, array_to_string(list_sort(list_distinct(flatten(list(t.ids)))), ',') AS sentence_ids
             FROM (SELECT id, item, unnest(string_split(item, ' ')) AS w FROM taken) k JOIN terms t ON t.item_id = k.id
             AND t.term = CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END GROUP BY 1, 2)
@@ -185,7 +247,7 @@ def item_keywords(likeness: str | None, limit: float = 1.0, top: int = 20) -> st
     )
 
 
-COUNTED = stages() + """, low AS (SELECT item_id, sent, pos_sent, lower(word) AS w, lower(word) IN (SELECT w FROM list WHERE w <> '') AS stop FROM raw),
+COUNTED = stages() + """, low AS (SELECT item_id, sent, pos_sent, lower(word) AS w, lower(word) IN (SELECT w FROM list WHERE w <> '' AND key = 'en') AS stop FROM raw),
     grams AS (SELECT item_id, w, stop, [w, lag(w) OVER s || ' ' || w, lag(w, 2) OVER s || ' ' || lag(w) OVER s || ' ' || w] AS g,
             [stop, lag(stop) OVER s, lag(stop, 2) OVER s] AS first FROM low WINDOW s AS (PARTITION BY item_id, sent ORDER BY pos_sent)),
     counted AS (SELECT item_id, g[i] AS phrase, count(*) AS n FROM grams, (SELECT unnest([1, 2, 3]) AS i)
@@ -203,24 +265,36 @@ def page_text() -> str:
     return f"trim(regexp_replace(regexp_replace({x}, '&[A-Za-z0-9#]+;', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
-def oracle_sql() -> dict[str, str]:
+def stage_sql(tokens: str) -> dict[str, str]:
+    """The queries of the stages over one source of tokens."""
     candidate = "SELECT item_id, norm_kw, kw, size, tf, round(h, 9) AS h FROM candidates WHERE clean"
+    return {
+        "tokenize": stages(tokens=tokens) + "SELECT item_id, sent, pos_sent, block, pos_text, word, norm, term FROM tags",
+        "token_tags": stages(tokens=tokens) + "SELECT item_id, pos_text, word, tag, stop_form FROM tags",
+        "term_frequency": stages(tokens=tokens) + "SELECT item_id, term, tf, tf_a, tf_n, stopword, first_pos, CAST(in_sentences AS INT) AS in_sentences, array_to_string(ids, ',') AS sentence_ids FROM terms",
+        "doc_term_stats": stages(tokens=tokens) + "SELECT item_id, sentences, words, max_tf, round(avg_tf, 9) AS avg_tf, round(std_tf, 9) AS std_tf FROM stats",
+        "cooccurrence_edges": stages(tokens=tokens) + "SELECT * FROM edges",
+        "cooccurrence_window2": stages(2, tokens=tokens) + "SELECT * FROM edges",
+        "graph_metrics": stages(tokens=tokens) + "SELECT * FROM metrics",
+        "term_scores": stages(tokens=tokens) + "SELECT item_id, term, round(wrel, 9) AS wrel, round(wfreq, 9) AS wfreq, round(wspread, 9) AS wspread, round(wcase, 9) AS wcase, round(wpos, 9) AS wpos, round(h, 9) AS h FROM scores",
+        "candidate_scores": stages(tokens=tokens) + candidate,
+        "candidate_scores_no_kpf": stages(features="wrel wfreq wspread wcase wpos", tokens=tokens) + candidate,
+        "candidate_scores_wfreq_only": stages(features="wfreq", tokens=tokens) + candidate,
+        "candidate_validity": stages(tokens=tokens) + "SELECT size, clean, count(*) AS candidates, CAST(sum(tf) AS BIGINT) AS occurrences FROM candidates GROUP BY 1, 2",
+        "ngram_freq_by_size": stages(n=4, tokens=tokens) + "SELECT size, CAST(sum(tf) AS BIGINT) AS occurrences FROM candidates WHERE size > 1 GROUP BY 1",
+        "bio_decode": stages(tokens=tokens) + """, t AS (SELECT item_id, pos_text, word, CASE WHEN NOT regexp_matches(word, '^[A-Z]') THEN 'O' WHEN pos_text % 2 = 0 THEN 'B' ELSE 'I' END AS tag FROM tags),
+            s AS (SELECT *, tag = 'B' OR tag = 'I' AND lag(tag, 1, 'O') OVER (PARTITION BY item_id ORDER BY pos_text) = 'O' AS starts FROM t),
+            g AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY item_id ORDER BY pos_text) AS n FROM s)
+            SELECT item_id, min(pos_text) AS "begin", string_agg(word, ' ' ORDER BY pos_text) AS phrase FROM g WHERE tag <> 'O' GROUP BY item_id, n""",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
     return {
         "pre_filter": f"""SELECT DISTINCT id, array_to_string(list_transform(string_split(body, chr(10)),
             lambda x: CASE WHEN regexp_matches(x, '^{WHITE}*[A-Z]') THEN chr(10) || chr(10) ELSE ' ' END || replace(x, chr(9), ' ')), '') AS filtered FROM input_document""",
-        "tokenize": stages() + "SELECT item_id, sent, pos_sent, block, pos_text, word, norm, term FROM tags",
-        "token_tags": stages() + "SELECT item_id, pos_text, word, tag, stop_form FROM tags",
-        "term_frequency": stages() + "SELECT item_id, term, tf, tf_a, tf_n, stopword, first_pos, CAST(in_sentences AS INT) AS in_sentences, array_to_string(ids, ',') AS sentence_ids FROM terms",
-        "doc_term_stats": stages() + "SELECT item_id, sentences, words, max_tf, round(avg_tf, 9) AS avg_tf, round(std_tf, 9) AS std_tf FROM stats",
-        "cooccurrence_edges": stages() + "SELECT * FROM edges",
-        "cooccurrence_window2": stages(2) + "SELECT * FROM edges",
-        "graph_metrics": stages() + "SELECT * FROM metrics",
-        "term_scores": stages() + "SELECT item_id, term, round(wrel, 9) AS wrel, round(wfreq, 9) AS wfreq, round(wspread, 9) AS wspread, round(wcase, 9) AS wcase, round(wpos, 9) AS wpos, round(h, 9) AS h FROM scores",
-        "candidate_scores": stages() + candidate,
-        "candidate_scores_no_kpf": stages(features="wrel wfreq wspread wcase wpos") + candidate,
-        "candidate_scores_wfreq_only": stages(features="wfreq") + candidate,
-        "candidate_validity": stages() + "SELECT size, clean, count(*) AS candidates, CAST(sum(tf) AS BIGINT) AS occurrences FROM candidates GROUP BY 1, 2",
-        "ngram_freq_by_size": stages(n=4) + "SELECT size, CAST(sum(tf) AS BIGINT) AS occurrences FROM candidates WHERE size > 1 GROUP BY 1",
+        **stage_sql(ITEM_TOKENS),
+        **{f"{k}_documents": v if k in ("candidate_validity", "ngram_freq_by_size") else f"SELECT * RENAME (item_id AS doc_id) FROM ({v})" for k, v in stage_sql(DOCUMENT_TOKENS).items()},
         "stopword_lookup": LISTS,
         "supported_languages": "SELECT DISTINCT lower(left(lang, 2)) AS lang FROM stopwords WHERE lang IS NOT NULL",
         "stopword_set_algebra": f"""WITH l AS ({LISTS})
@@ -241,6 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "keywords_items_seqm": item_keywords(SEQM, 0.7),
         "keywords_items_levs": item_keywords(LEVS, 0.6, 10),
         "keywords_items_top": item_keywords(None),
+        "topk_no_dedup": f"SELECT * RENAME (item_id AS doc_id) FROM ({item_keywords(None, tokens=DOCUMENT_TOKENS)})",
         "result_documents": """SELECT id, coalesce(d.language, 'en') AS language, d.title AS title, map_keys(d.metadata)[1] IS NOT NULL AS has_metadata, true AS few
             FROM (SELECT id, arg_max(struct_pack(language, title, metadata), arrived_at) AS d FROM input_document GROUP BY 1)""",
         "candidate_counts": COUNTED + "SELECT * FROM counted",
@@ -260,10 +335,6 @@ def oracle_sql() -> dict[str, str]:
         "topk_overlap": RANKED + "SELECT doc, count(*) FILTER (long_rank <= 3) AS overlap FROM r WHERE rank <= 3 GROUP BY 1",
         "precision_at_k": RANKED + """SELECT doc, count(*) FILTER ((doc, item) IN (SELECT (id, "normalizedKeyword") FROM kaggle_excerpt WHERE occurrences > 1)) / 3 AS precision FROM r WHERE rank <= 3 GROUP BY 1""",
         "leading_prefix": RANKED + "SELECT doc, coalesce(min(rank) FILTER (rank <> long_rank), max(rank) + 1) - 1 AS matches FROM r GROUP BY 1",
-        "bio_decode": stages() + """, t AS (SELECT item_id, pos_text, word, CASE WHEN NOT regexp_matches(word, '^[A-Z]') THEN 'O' WHEN pos_text % 2 = 0 THEN 'B' ELSE 'I' END AS tag FROM tags),
-            s AS (SELECT *, tag = 'B' OR tag = 'I' AND lag(tag, 1, 'O') OVER (PARTITION BY item_id ORDER BY pos_text) = 'O' AS starts FROM t),
-            g AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY item_id ORDER BY pos_text) AS n FROM s)
-            SELECT item_id, min(pos_text) AS "begin", string_agg(word, ' ' ORDER BY pos_text) AS phrase FROM g WHERE tag <> 'O' GROUP BY item_id, n""",
         "latency_percentiles": """SELECT event_type, count(value) AS n, round(sum(value), 2) AS total, round(avg(value), 6) AS mean,
             round(quantile_disc(value, 0.5), 9) AS p50, round(quantile_disc(value, 0.95), 9) AS p95 FROM events GROUP BY 1""",
     }

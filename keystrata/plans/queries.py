@@ -38,7 +38,7 @@ def _only(e: Extraction) -> Extraction:
 
 
 def items(spark: SparkSession, folder: str, **options) -> Extraction:
-    """The stages over the evaluation texts, which SQL can follow word for word."""
+    """The stages over the evaluation texts."""
     o = Options(language="en", **options)
     return _only(Extraction(documents(table(spark, folder, "eval_item"), "item_id", "text", None, options=o), lists(spark, folder), o))
 
@@ -257,7 +257,9 @@ def keywords_jaro(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topk_no_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return _document_keywords(spark, folder, dedup_lim=1.0, n=2)
+    """The first keywords of up to two words of every document, near duplicates among them."""
+    found = _document_keywords(spark, folder, dedup_lim=1.0, n=2)
+    return _round(found.withColumn("sentence_ids", F.array_join("sentence_ids", ",")), "score")
 
 
 def _item_keywords(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -346,7 +348,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def of_documents(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of the stages over all documents. It has no SQL, which can't follow the splitting of any text."""
+    """A query of the stages over all documents."""
     return lambda spark, folder: query(spark, folder, corpus).withColumnRenamed("item_id", "doc_id")
 
 
