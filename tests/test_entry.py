@@ -21,7 +21,7 @@ def test_queries_follow_sql(spark):
     con = duckdb.connect()
     for name in os.listdir(folder):
         con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{name}'")
-    for name in ("candidate_scores", "stopword_set_algebra", "sim_seqm", "sim_jaro", "dedup_levs", "candidate_order", "keywords_items_seqm", "date_sections", "html_text"):
+    for name in ("tokenize_documents", "candidate_scores_documents", "topk_no_dedup", "candidate_scores", "stopword_set_algebra", "sim_seqm", "sim_jaro", "dedup_levs", "candidate_order", "keywords_items_seqm", "date_sections", "html_text"):
         ours = entry.queries()[name](spark, folder).toPandas()
         theirs = con.execute(entry.oracle_sql()[name]).df()[list(ours.columns)]
         a, b = ({tuple(map(str, r)) for r in x.itertuples(index=False)} for x in (ours, theirs))
