@@ -58,13 +58,23 @@ def stable_json_udf(rows: pd.DataFrame) -> pd.Series:
     return pd.Series([stable_json(_plain(r)) for r in rows.to_dict("records")])
 
 
+def _phrase(keyword: object) -> str:
+    if isinstance(keyword, str):
+        return keyword
+    return str(keyword["keyword"] if isinstance(keyword, dict) else keyword.keyword if hasattr(keyword, "keyword") else keyword[0])
+
+
 def highlight(text: str | None, keywords: Iterable, max_ngram: int = 3, before: str = "<mark>", after: str = "</mark>") -> str | None:
-    """A text with phrases marked: whole words in any case, longer phrases first, no marks within marks."""
+    """A text with phrases marked: whole words in any case, longer phrases first, no marks within marks.
+
+    A keyword is a string, a pair of one and its score, or a record with a field keyword. Of phrases of as many words and
+    letters the one given first goes first.
+    """
     if text is None or keywords is None:
         return text
-    phrases = {p for k in keywords if k and (p := (k if isinstance(k, str) else k[0]).strip()) and len(p.split()) <= max_ngram}
+    phrases = dict.fromkeys(p for k in keywords if k is not None and (p := _phrase(k).strip()) and len(p.split()) <= max_ngram)
     found: list[tuple[int, int]] = []
-    for p in sorted(phrases, key=lambda p: (-len(p.split()), -len(p), p)):
+    for p in sorted(phrases, key=lambda p: (-len(p.split()), -len(p))):
         for m in regex.finditer(rf"(?<![\p{{L}}\p{{Nd}}]){regex.escape(p)}(?![\p{{L}}\p{{Nd}}])", text, regex.IGNORECASE):
             if not any(b < m.end() and m.start() < e for b, e in found):
                 found.append(m.span())

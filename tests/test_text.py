@@ -51,6 +51,9 @@ def test_output():
     assert stable_json({"b": 1.0, "a": [2.18e-05, "x"], "none": None}) == '{"a":[0.0000218,"x"],"b":1}'
     assert number(1e-7) == "0.0000001" and number(0.25) == "0.25"
     assert highlight("Deep learning, deep Learnings.", ["deep learning", "Deep", "learning"]) == "<mark>Deep learning</mark>, <mark>deep</mark> Learnings."
+    assert highlight("ab cd", [("ab", 0.1), {"keyword": "cd"}, None, ""], before="[", after="]") == "[ab] [cd]"
+    assert highlight("one two one", ["two one", "one two"], before="[", after="]") == "one [two one]"
+    assert highlight("one two one", ["one two", "two one"], before="[", after="]") == "[one two] one"
     assert highlight(None, ["a"]) is None and highlight("a b", []) == "a b"
 
 
