@@ -86,11 +86,24 @@ def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+@lru_cache(100_000)
+def _token(token: str) -> tuple[tuple[str, ...], tuple[str, ...], int, int]:
+    """The words of a token; those of it without Latin ones; its letters, and how many are in words of other scripts."""
+    words = WORD.findall(token)
+    own, n = tuple(folded_words(token)), sum(map(len, words))
+    if token.isascii():
+        return own, (), n, 0
+    other = sum(len(w) for w in words if 2 * sum(c > "\u036f" for c in w) > len(w))
+    return own, tuple(folded_words(LATIN_WORD.sub(" ", token))), n, other
+
+
 def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, count) of each text's n-grams, ordered."""
+    """(text, bucket, count) of each text's n-grams, ordered. In a text of another script, Latin words are names."""
     words, of = [], []
     for i, t in enumerate(texts):
-        own = folded_words(_without_names(t))
+        tokens = [_token(x) for x in t.split()]
+        foreign = 5 * sum(x[3] for x in tokens) >= sum(x[2] for x in tokens) and any(x[3] for x in tokens)
+        own = [w for x in tokens for w in x[1 if foreign else 0]]
         words += own
         of += [i] * len(own)
     found = features(words)
@@ -102,21 +115,6 @@ def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys // SIZE, keys % SIZE, counts
 
 
-def _without_names(text: str) -> str:
-    """In a text of another script, Latin words are names."""
-    if not text.isascii():
-        n, other = _script(text)
-        if other >= 0.2 * n:
-            return LATIN_WORD.sub(" ", text)
-    return text
-
-
-def _script(text: str) -> tuple[int, int]:
-    """How many letters a text has, and how many of them in words of other scripts than Latin."""
-    words = WORD.findall(text)
-    return sum(map(len, words)), 0 if text.isascii() else sum(len(w) for w in words if 2 * sum(c > "ͯ" for c in w) > len(w))
-
-
 class LanguageModel:
     """Centroids of the languages of labelled texts; the same texts always give the same centroids."""
 
@@ -157,14 +155,10 @@ class LanguageModel:
     def _learn(self, tokens: list[str]) -> None:
         words, of, sizes = [], [], []
         for i, t in enumerate(tokens):
-            own = folded_words(t)
-            words += own
-            of += [2 * i] * len(own)
-            if not t.isascii():
-                own = folded_words(LATIN_WORD.sub(" ", t))
-                words += own
-                of += [2 * i + 1] * len(own)
-            sizes.append(_script(t))
+            own, rest, *size = _token(t)
+            words += own + rest
+            of += [2 * i] * len(own) + [2 * i + 1] * len(rest)
+            sizes.append(size)
         sums = np.zeros((2 * len(tokens), self.weights.shape[1] + 1), np.float32)
         of = np.array(of, dtype=np.int64)
         for lo in range(0, len(words), 5_000):
