@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -46,10 +46,13 @@ LOOKALIKE = frozenset("".join(of for of, _ in LOOKALIKES.values()))
 REPLACED = "�"
 #: Labelled texts taken at most, for each language, and the characters of one; the corpus table is fixed and far below.
 MAX_TRAINING_ROWS = 2_000
-#: The bounded sample of labelled documents beside the labelled table: rows of a language, chosen by hash of their key,
-#: and their characters (longer ones aren't sampled); share of a language's sample in which two characters stand together,
-#: and the same where one of them is a mark.
-FIT_ROWS, FIT_CHARS, PAIR_SHARE, MARK_SHARE = 300, 20_000, 0.03, 0.15
+#: Characters of a labelled text, longer ones aren't taken.
+FIT_CHARS = 20_000
+#: Of all documents labelled with a language, the share in which two characters stand together, the same where one of them
+#: is a mark, and the share that have a phrase in a clean line: such pairs and phrases are known.
+PAIR_SHARE, MARK_SHARE, PHRASE_SHARE = 0.03, 0.15, 1 / 300
+#: Words of a phrase, its characters in a script without blanks; counts a task holds before it hands them on.
+PHRASE, PHRASE_CHARS, KEPT_COUNTS = 3, 6, 200_000
 #: Marks of typography that belong to no language.
 PUNCTUATION = frozenset("–—‘’‚“”„‹›«»…·§°№©®™¿¡、。，！？：；（）「」『』《》")
 #: The letters a language is written with beyond ASCII, of which training texts may lack some. Chinese and
@@ -65,6 +68,7 @@ LETTERS = {
 }
 LINE = re.compile(r"[^\n]*\n*")
 UNIT = re.compile(r"[^\n.!?。！？।]*(?:[.!?。！？।]+[^\s\w]*|\n+|$)\s*")
+UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u9fff]+")
 MIXED = re.compile("[A-Za-z][Ͱ-ӿ؀-ۿ]|[Ͱ-ӿ؀-ۿ][A-Za-z]")
 
 
@@ -184,13 +188,24 @@ def _share_written(letters: list[str], codec: str) -> float:
 MISREAD = frozenset().union(*(_repertoire(x) for x in WRONG)) - frozenset(map(chr, range(0x80)))
 
 
+def strange(text: str, seen: frozenset[tuple[str, str]]) -> bool:
+    """Whether characters stand together here, one of which a wrong reading may give, that aren't seen to."""
+    for a, b in zip(text, text[1:]):
+        if (a > "\x7f" or b > "\x7f") and (a, b) not in seen and not a.isspace() | b.isspace() or "\x80" <= b < "\xa1":
+            x, y = (a in PUNCTUATION or a < "\x80"), (b in PUNCTUATION or b < "\x80")
+            if not (x and y) and (a in MISREAD or b in MISREAD):
+                return True
+    return False
+
+
 class Repairer:
     """Compressors and alphabets of the languages of a training table of clean texts; LETTERS complete the alphabets.
 
-    lines has more texts for the dictionaries, and pairs characters that are known to stand together, beside those of texts.
+    phrases has more for the dictionaries, the commonest last, and pairs characters that are known to stand together,
+    beside those of texts.
     """
 
-    def __init__(self, texts: dict[str, list[str]], lines: dict[str, list[str]] | None = None, pairs: frozenset[tuple[str, str]] = frozenset()) -> None:
+    def __init__(self, texts: dict[str, list[str]], phrases: dict[str, list[str]] | None = None, pairs: frozenset[tuple[str, str]] = frozenset()) -> None:
         self.alphabet, self.letters, self.coder, self.latin, self.written, self.pairs = {}, {}, {}, {}, {}, {}
         misread = _repertoire("cp1252")
         for language, own in sorted(texts.items()):
@@ -207,10 +222,10 @@ class Repairer:
             single = [x for x in fit if x not in WIDE]
             self.written[language] = frozenset(single or ([] if self.latin[language] else fit))
             self.pairs[language] = frozenset(zip(joined, joined[1:]))
-            raw = "\n".join([*(lines or {}).get(language, ()), joined]).encode("utf-8") + b" " * 8
-            words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=3)
-            self.coder[language] = zstandard.ZstdCompressor(dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+            raw = " ".join([*(phrases or {}).get(language, ()), joined]).encode("utf-8") + b" " * 8
+            known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=3)
+            self.coder[language] = zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.all_pairs = pairs.union(*self.pairs.values())
         self.compressed = lru_cache(200_000)(lambda text, language: 8 * len(self.coder[language].compress(text.encode("utf-8", "replace"))))
         self.best_chain = lru_cache(50_000)(self._best_chain)
@@ -238,13 +253,7 @@ class Repairer:
 
         Text without such a pair is taken as it stands.
         """
-        seen = self.pairs[languages[0]] if len(languages) == 1 else self.all_pairs
-        for a, b in zip(text, text[1:]):
-            if (a > "\x7f" or b > "\x7f") and (a, b) not in seen and not a.isspace() | b.isspace() or "\x80" <= b < "\xa1":
-                x, y = (a in PUNCTUATION or a < "\x80"), (b in PUNCTUATION or b < "\x80")
-                if not (x and y) and (a in MISREAD or b in MISREAD):
-                    return True
-        return False
+        return strange(text, self.pairs[languages[0]] if len(languages) == 1 else self.all_pairs)
 
     def _known(self, letters: Counter, languages: tuple[str, ...], legacy: bool, of: int) -> tuple[str, ...]:
         """The languages that use the letters a chain brings in; of is the number of letters in the whole text."""
@@ -371,50 +380,89 @@ def training_texts(corpus: DataFrame, language: str = "language", text: str = "t
     return dict(out)
 
 
-def labelled_sample(df: DataFrame, languages: Sequence[str], key: str, text: str, label: str) -> list[tuple[str, str]]:
-    """(language, text) of at most FIT_ROWS labelled rows of each language, those of least hash of the key."""
+def labelled_texts(df: DataFrame, languages: Sequence[str], text: str, label: str) -> DataFrame:
+    """(l STRING, t STRING): the distinct texts labelled with one of the languages, whole and all of them."""
     said = F.lower(F.substring(F.trim(label), 1, 2))
-    rows = df.select(said.alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where(F.col("l").isin(list(languages)))
-    # the hashes alone are ranked, a partition's least before they are sent; texts are read for those below the bound
-    bounds = rows.select("l", "h").distinct().selectExpr("l", "h", "row_number() OVER (PARTITION BY l ORDER BY h) AS k").where(F.col("k") <= FIT_ROWS)
-    bound = {r["l"]: r["h"] for r in bounds.groupBy("l").agg(F.max("h").alias("h")).collect()}  # a row a language
-    if not bound:
-        return []
-    within = F.lit(False)
-    for x, h in sorted(bound.items()):
-        within = within | ((F.col("l") == x) & (F.col("h") <= F.lit(h)))
-    rows = rows.where(within & (F.length("t") <= FIT_CHARS)).select("l", "t").distinct()
-    return sorted((r["l"], r["t"]) for r in rows.collect())  # FIT_ROWS a language
+    rows = df.select(said.alias("l"), F.col(text).alias("t")).where(F.col("l").isin(list(languages)) & F.col("t").rlike(r"\S"))
+    # adaptive execution would join partitions by size, but the work on texts is heavy for their size
+    return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t").distinct()
+
+
+def document_counts(rows: DataFrame, things: Callable[[str, str], Iterable[str]]) -> DataFrame:
+    """(l, w, n): how many of the rows (l, t) have w among their things, which gives each once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            out = pd.DataFrame([(x, w, n) for (x, w), n in counts.items()], columns=["l", "w", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for x, t in zip(batch["l"], batch["t"]):
+                counts.update((x, w) for w in things(x, t))
+                if len(counts) > KEPT_COUNTS:
+                    yield counted()
+        yield counted()
+
+    return rows.mapInPandas(run, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+
+
+def phrases_of(line: str) -> set[str]:
+    """Every PHRASE words that follow on one another; of a script without blanks every PHRASE_CHARS characters."""
+    words, out = line.split(), set()
+    if not line.isascii() and UNSPACED.search(line):
+        out.update(r[i : i + PHRASE_CHARS] for r in UNSPACED.findall(line) for i in range(max(1, len(r) - PHRASE_CHARS + 1)))
+        words = UNSPACED.sub(" ", line).split()
+    out.update(" ".join(words[i : i + PHRASE]) for i in range(max(1, len(words) - PHRASE + 1)) if words)
+    return out
+
+
+def clean_phrases(text: str, seen: frozenset[tuple[str, str]]) -> set[str]:
+    """The phrases of a text's clean lines: those in which no characters stand together oddly and none is lost."""
+    clean = REPLACED not in text and not strange(text, seen)
+    return set().union(*(phrases_of(line) for line in text.split("\n") if clean or REPLACED not in line and not strange(line, seen)))
 
 
 Clean = tuple[dict[str, list[str]], dict[str, list[str]], frozenset[tuple[str, str]]]
 
 
-def with_clean_lines(texts: dict[str, list[str]], sample: list[tuple[str, str]]) -> Clean:
-    """What a Repairer is made of: the labelled texts, the clean lines of a sample of documents, and pairs of characters.
+def clean_documents(df: DataFrame, texts: dict[str, list[str]], text: str, label: str | None) -> Clean:
+    """What a Repairer is made of: the labelled texts, phrases of the clean lines of documents, and pairs of characters.
 
-    A pair of characters of a language's own alphabet that PAIR_SHARE of its sampled documents have is known, as garbled
-    texts are few and of many kinds. Lines in which no characters stand together oddly are clean.
+    Both are counted over all documents that label gives one of the languages. A pair of characters of a language's own
+    alphabet that PAIR_SHARE of its documents have is known, as garbled texts are few and of many kinds; so is a phrase that
+    PHRASE_SHARE of them have in clean lines. The known phrases of a language hold no more characters than
+    PHRASE_CHARS / PHRASE_SHARE mean documents.
     """
-    fixer, own = Repairer(texts), defaultdict(list)
-    for x, t in sample:
-        own[x].append(t)
-    known = set()
-    for x, docs in own.items():
-        counts = Counter(p for t in docs for p in set(zip(t, t[1:])) if p[0] > "\x7f" or p[1] > "\x7f")
-        for p, n in counts.items():
-            share = MARK_SHARE if PUNCTUATION.intersection(p) else PAIR_SHARE
-            if n >= max(3, share * len(docs)) and all(c <= "\x7f" or c in fixer.letters[x] or c in PUNCTUATION for c in p):
-                known.add(p)
-    pairs = frozenset(known)
-    fixer, out, seen = Repairer(texts, None, pairs), defaultdict(list), set()
-    every = tuple(fixer.coder)
-    for x, t in sample:
-        for line in t.split("\n"):
-            if line.strip() and (x, line) not in seen and REPLACED not in line and not fixer.odd(line, every):
-                seen.add((x, line))
-                out[x].append(line)
-    return texts, dict(out), pairs
+    if not label or not texts:
+        return texts, {}, frozenset()
+    fixer, context = Repairer(texts), df.sparkSession.sparkContext
+    rows = labelled_texts(df, sorted(texts), text, label)
+    own = context.broadcast({x: fixer.letters[x] | PUNCTUATION for x in texts})
+
+    def side_by_side(x: str, t: str) -> Iterator[str]:
+        yield ""  # counts the documents
+        if not t.isascii():
+            letters = own.value[x]
+            for a, b in set(zip(t, t[1:])):
+                if (a > "\x7f" or b > "\x7f") and (a <= "\x7f" or a in letters) and (b <= "\x7f" or b in letters):
+                    yield a + b
+
+    found = document_counts(rows, side_by_side).where("w = '' OR n >= 3").collect()  # at most the pairs of a language's letters
+    docs = {r["l"]: r["n"] for r in found if not r["w"]}
+    if not docs:
+        return texts, {}, frozenset()
+    share = {True: MARK_SHARE, False: PAIR_SHARE}
+    pairs = frozenset(tuple(r["w"]) for r in found if r["w"] and r["n"] >= share[bool(PUNCTUATION.intersection(r["w"]))] * docs[r["l"]])
+    seen = context.broadcast(fixer.all_pairs | pairs)
+    least = F.create_map(*(F.lit(x) for l, n in sorted(docs.items()) for x in (l, PHRASE_SHARE * n)))
+    phrases = defaultdict(list)
+    known = document_counts(rows, lambda _, t: clean_phrases(t, seen.value)).where(F.col("n") >= least[F.col("l")])
+    for r in sorted(known.collect(), key=lambda r: (r["l"], r["n"], r["w"])):  # bounded by PHRASE_SHARE
+        phrases[r["l"]].append(r["w"])
+    return texts, dict(phrases), pairs
 
 
 _repairers: dict[int, Repairer] = {}
@@ -433,13 +481,12 @@ def repaired(df: DataFrame, corpus: DataFrame, key: str, text: str, language: st
     Result: (row_key STRING, original STRING, chains ARRAY<STRING>, lost INT): the text as restored; the chains of its
     stretches, in order; how many characters are replaced for good. One row for each distinct key and text that is
     garbled. language names a trusted column with the language of each text; without it every language is tried. label
-    names a column of languages some of which are wrong: FIT_ROWS rows of each add their clean lines to the dictionaries.
+    names a column of languages some of which are wrong: all texts with a label add to what is known of its language.
     Null keys and null, empty or plain ASCII texts give no rows; a byte order mark alone is no garbling. Texts are
     looked at whole. Other columns are ignored.
     """
-    texts = training_texts(corpus)
-    clean = with_clean_lines(texts, labelled_sample(df, sorted(texts), key, text, label) if label else [])
-    shared = df.sparkSession.sparkContext.broadcast(clean)  # bounded by MAX_TRAINING_ROWS and FIT_ROWS
+    clean = clean_documents(df, training_texts(corpus), text, label)
+    shared = df.sparkSession.sparkContext.broadcast(clean)  # bounded by MAX_TRAINING_ROWS and PHRASE_SHARE
     said = F.col(language) if language else F.lit(None)
     rows = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("text"), said.cast("string").alias("language"))
     rows = rows.where(F.col("row_key").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.encoding import Clean, labelled_sample, read_again, repairer, training_texts, with_clean_lines
+from keystrata.llm.encoding import FIT_CHARS, clean_documents, read_again, repairer, training_texts
 from keystrata.llm.lookalikes import skeleton_letters
 
 #: n-grams of 1 to GRAMS characters, hashed into SIZE places; centroids for each language; cosine below which a text is rejected.
@@ -27,6 +27,8 @@ from keystrata.llm.lookalikes import skeleton_letters
 GRAMS, SIZE, CENTROIDS, REJECT, LEAST_SHARE = 4, 1 << 17, 3, 0.05, 0.15
 #: What a change of language costs, in letters whose language is beyond doubt, and letters of a sentence that count at most.
 SWITCH, LONG = 5.0, 60
+#: Labelled documents of a language that centroids are fitted on, chosen by hash of their key; none over FIT_CHARS characters.
+FIT_ROWS = 300
 #: Rounds of fitting on a sample of labelled documents; the lead that a text's label must have over the whole text, and
 #: that from which a sentence of it counts as another language.
 FIT_ROUNDS, OWN_LEAD, OTHER_LEAD = 2, 0.12, 0.5
@@ -308,12 +310,26 @@ def fit_languages(training: dict[str, list[str]], sample: list[tuple[str, str]]
     return model
 
 
-def fit_documents(df: DataFrame, corpus: DataFrame, key: str, text: str, label: str | None) -> tuple[Clean, LanguageModel]:
-    """Clean texts by language and the language model for a table of documents: from the labelled table and a bounded
-    sample of the table's own labelled rows."""
-    training = training_texts(corpus)
-    sample = labelled_sample(df, sorted(training), key, text, label) if label else []
-    return with_clean_lines(training, sample), fit_languages(training, sample)
+def labelled_sample(df: DataFrame, languages: Sequence[str], key: str, text: str, label: str) -> list[tuple[str, str]]:
+    """(language, text) of at most FIT_ROWS labelled rows of each language, those of least hash of the key."""
+    said = F.lower(F.substring(F.trim(label), 1, 2))
+    rows = df.select(said.alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where(F.col("l").isin(list(languages)))
+    # the hashes alone are ranked, a partition's least before they are sent; texts are read for those below the bound
+    bounds = rows.select("l", "h").distinct().selectExpr("l", "h", "row_number() OVER (PARTITION BY l ORDER BY h) AS k").where(F.col("k") <= FIT_ROWS)
+    bound = {r["l"]: r["h"] for r in bounds.groupBy("l").agg(F.max("h").alias("h")).collect()}  # a row a language
+    if not bound:
+        return []
+    within = F.lit(False)
+    for x, h in sorted(bound.items()):
+        within = within | ((F.col("l") == x) & (F.col("h") <= F.lit(h)))
+    rows = rows.where(within & (F.length("t") <= FIT_CHARS)).select("l", "t").distinct()
+    return sorted((r["l"], r["t"]) for r in rows.collect())  # FIT_ROWS a language
+
+
+def fit_documents(df: DataFrame, training: dict[str, list[str]], key: str, text: str, label: str | None) -> LanguageModel:
+    """The language model for a table of documents: from the labelled table's texts and a bounded sample of the documents'
+    own labelled rows."""
+    return fit_languages(training, labelled_sample(df, sorted(training), key, text, label) if label else [])
 
 
 def language_segments(df: DataFrame, corpus: DataFrame, key: str = "id", text: str = "body", label: str = "language", order: str | None = "arrived_at") -> DataFrame:
@@ -328,7 +344,9 @@ def language_segments(df: DataFrame, corpus: DataFrame, key: str = "id", text: s
     from keystrata.llm.sentences import boundaries, latest_rows, laid_out, split_units, with_entries
 
     rows = latest_rows(df, key, text, order, label)
-    shared = df.sparkSession.sparkContext.broadcast(fit_documents(df, corpus, key, text, label))  # bounded by FIT_ROWS and SIZE
+    training = training_texts(corpus)
+    fitted = clean_documents(df, training, text, label), fit_documents(df, training, key, text, label)
+    shared = df.sparkSession.sparkContext.broadcast(fitted)  # bounded by PHRASE_SHARE, FIT_ROWS and SIZE
     told = rows.select(F.col("key").cast("string").alias("key"), "t", F.col(label).cast("string").alias("label")).where(F.col("t").rlike(r"\S"))
     told, model_of = with_entries(told, boundaries(rows, shared), shared)
 

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.encoding import training_texts
 from keystrata.llm.language import LanguageModel, fit_documents
 from keystrata.session import materialize
 
@@ -452,7 +453,7 @@ def latest_rows(df: DataFrame, key: str, text: str, order: str | None, *more: st
 def boundaries(texts: DataFrame, shared, text: str = "t") -> DataFrame:
     """(language, part, word): what the boundary model of a table of texts knows, from the counts of all of them.
 
-    shared is the broadcast pair of training texts and language model. Counts stay distributed.
+    shared is a broadcast pair, of which the second is the language model. Counts stay distributed.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -527,7 +528,8 @@ def sentence_units(df: DataFrame, corpus: DataFrame, key: str = "id", text: str
     column of languages, some perhaps wrong, or is None.
     """
     rows = latest_rows(df, key, text, order)
-    shared = df.sparkSession.sparkContext.broadcast(fit_documents(df, corpus, key, text, label))  # bounded by FIT_ROWS and SIZE
+    model = fit_documents(df, training_texts(corpus), key, text, label)
+    shared = df.sparkSession.sparkContext.broadcast((None, model))  # bounded by FIT_ROWS and SIZE
     units = rows.select(F.col("key").cast("string").alias("key"), "t").where(F.col("t").rlike(r"\S"))
     units, model_of = with_entries(units, boundaries(rows, shared), shared)
 

@@ -232,3 +232,42 @@ def test_repair_leaves_clean_text(spark):
     found = {r["row_key"]: (r["original"], r["lost"]) for r in repaired(df, corpus, "id", "body").collect()}
     assert found == {"1": ("déjà vu", 0), "5": ("d�j�", 2)}
     assert repaired(df.limit(0), corpus, "id", "body").count() == 0
+
+
+def test_all_labelled_documents_tell_what_is_clean(spark):
+    """Documents of any key and any length count: here those of least hash, and all short ones, lack the letters in question."""
+    from pyspark.sql import functions as F
+
+    from keystrata.llm.encoding import repaired
+
+    clean, plain = "У старой мельницы артель садоводов доставляет два медных колокола.", "Архив описывает расписание."
+    assert Repairer(CLEAN).repair(clean)[1]  # the labelled texts alone would take this for garbled
+    corpus = spark.createDataFrame([(k, t) for k, v in CLEAN.items() for t in v], "language string, text string")
+    keys = [r["id"] for r in spark.range(900).select(F.col("id").cast("string")).orderBy(F.xxhash64("id")).collect()]
+    late = [(k, f"{k}. {clean if i >= 300 else plain}", "ru-RU") for i, k in enumerate(keys)]
+    long = [(k, f"{k}. {plain * 1000} {clean}", "RU") for k in keys[:12]]
+    for rows in (late, long):
+        df = spark.createDataFrame([*rows, ("x", clean, None), ("y", "dÃ©jÃ\xa0 vu", None)], "id string, body string, language string")
+        found = {r["row_key"]: r["original"] for r in repaired(df, corpus, "id", "body", label="language").collect()}
+        assert found == {"y": "déjà vu"}
+
+
+def test_known_pairs_and_phrases_equal_brute_force(spark):
+    from keystrata.llm import encoding
+
+    rng, few = random.Random(4), "été île âge où près ça".split()
+    bodies = [" ".join(rng.choice("le la canal vieux pont 橋の上 x".split() + few) for _ in range(9)) + ("\nrare chose vue" if i % 450 == 0 else "\ndÃ©jÃ\xa0 vu bien") for i in range(901)]
+    rows = [(str(i), t, "fr") for i, t in enumerate(bodies)] + [("a", bodies[0], "FR "), ("b", None, "fr"), ("c", " ", "fr"), ("d", bodies[1], "xx"), ("e", bodies[2], None)]
+    df = spark.createDataFrame(rows, "id string, body string, language string")
+    texts, phrases, pairs = encoding.clean_documents(df, CLEAN, "body", "language")
+    docs, fixer = sorted(set(bodies)), Repairer(CLEAN)
+    own = fixer.letters["fr"] | encoding.PUNCTUATION | set(map(chr, range(128)))
+    n = {p: sum(p[0] + p[1] in t for t in docs) for t in docs for p in zip(t, t[1:]) if max(p) > "\x7f" and own.issuperset(p)}
+    assert pairs == {p for p, k in n.items() if k >= max(3, (0.15 if encoding.PUNCTUATION & set(p) else 0.03) * len(docs))} and pairs
+    whole = Repairer(CLEAN, None, pairs)
+    held = [{p for line in t.split("\n") if not whole.odd(line, tuple(CLEAN)) for p in encoding.phrases_of(line)} for t in docs]
+    counts = {p: sum(p in x for x in held) for x in held for p in x}
+    least = len(docs) / 300
+    assert texts is CLEAN and phrases == {"fr": sorted((p for p, k in counts.items() if k >= least), key=lambda p: (counts[p], p))}
+    assert counts["rare chose vue"] == 3 < least and not any("Ã" in p for p in counts) and len(docs) > 900
+    assert encoding.clean_documents(df.limit(0), CLEAN, "body", "language") == (CLEAN, {}, frozenset())
