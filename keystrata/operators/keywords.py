@@ -41,6 +41,11 @@ def documents(df: DataFrame, id: str = "id", body: str = "body", language: str |
     return rows.withColumn("rid", F.xxhash64("doc", "text", "lang"))
 
 
+def once(docs: DataFrame, *columns: str) -> DataFrame:
+    """These columns of one row of each document: copies of a row would count its words twice."""
+    return docs.groupBy("rid").agg(*(F.first(c).alias(c) for c in columns if c != "rid")).select(*columns)
+
+
 def tokens(docs: DataFrame, splitter: Callable[[str | None], list[list[str]]] = text.sentence_tokens) -> DataFrame:
     """(rid, doc, lang, sent, pos_sent, block, pos_text, word): every word; marks of punctuation alone end a block.
 
@@ -69,9 +74,7 @@ def tokens(docs: DataFrame, splitter: Callable[[str | None], list[list[str]]] =
             yield _batch(batch, row, sent, at, block, pos, word, total, names)
 
     schema = f"rid long, doc {kind.simpleString()}, lang string, sent int, pos_sent int, block int, pos_text int, word string, sentences int"
-    # one row of each document: copies of a row would count its words twice
-    once = docs.groupBy("rid").agg(*(F.first(c).alias(c) for c in ("doc", "lang", "text")))
-    return once.select("rid", "doc", "lang", "text").mapInArrow(run, schema)
+    return once(docs, "rid", "doc", "lang", "text").mapInArrow(run, schema)
 
 
 def _batch(batch, row, sent, at, block, pos, word, total, names) -> pa.RecordBatch:
@@ -262,6 +265,10 @@ class Extraction:
         """Give the tagged tokens up."""
         self.tags.unpersist()
 
+    def counts(self) -> DataFrame:
+        """(size, clean, candidates, occurrences): how many candidates there are in all documents."""
+        return self.candidates.groupBy("size", "clean").agg(F.count(F.lit(1)).alias("candidates"), F.sum("tf").alias("occurrences"))
+
     def detailed(self) -> DataFrame:
         """keywords with the sentences of their words."""
         return with_sentences(self.keywords, self.tags, self.terms)

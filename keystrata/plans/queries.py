@@ -14,12 +14,13 @@ from keystrata.functions import similarity, text
 from keystrata.functions.output import highlight_udf, html_to_text, stable_json_udf
 from keystrata.operators import metrics
 from keystrata.operators.keywords import Extraction, document_stats, documents, edges, ranked
+from keystrata.operators.phrases import Phrases
 from keystrata.options import Options
 from keystrata.sources import stopwords
 from keystrata.sources.tables import table
 
 
-Stages = Callable[..., Extraction]
+Stages = Callable[..., Extraction | Phrases]
 
 
 def lists(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,12 +30,12 @@ def lists(spark: SparkSession, folder: str) -> DataFrame:
 _kept: list[Extraction] = []
 
 
-def _only(e: Extraction) -> Extraction:
-    """Of the registered queries, the last one alone keeps its tokens."""
+def _only(*e: Extraction) -> Extraction | None:
+    """Of the registered queries, the last one alone keeps its tokens, if it has any."""
     while _kept:
         _kept.pop().close()
-    _kept.append(e)
-    return e
+    _kept.extend(e)
+    return e[0] if e else None
 
 
 def items(spark: SparkSession, folder: str, **options) -> Extraction:
@@ -49,6 +50,17 @@ def corpus(spark: SparkSession, folder: str, **options) -> Extraction:
     return _only(Extraction(documents(table(spark, folder, "documents"), "doc_id", "text", "lang", options=o), lists(spark, folder), o))
 
 
+def phrases(spark: SparkSession, folder: str, **options) -> Extraction | Phrases:
+    """The candidates of all documents in one pass; by stages where there are more stopwords than are sent to the workers."""
+    words = lists(spark, folder)
+    if words.limit(stopwords.MAX_LISTED + 1).count() > stopwords.MAX_LISTED:
+        return corpus(spark, folder, **options)
+    _only()
+    o = Options(**options)
+    docs = documents(table(spark, folder, "documents"), "doc_id", "text", "lang", options=o)
+    return Phrases(docs, spark.sparkContext.broadcast(stopwords.by_language(words)), o)
+
+
 def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
@@ -110,11 +122,11 @@ def candidate_scores_wfreq_only(spark: SparkSession, folder: str, over: Stages =
 
 
 def candidate_validity(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
-    return over(spark, folder).candidates.groupBy("size", "clean").agg(F.count(F.lit(1)).alias("candidates"), F.sum("tf").alias("occurrences"))
+    return over(spark, folder).counts()
 
 
 def ngram_freq_by_size(spark: SparkSession, folder: str, over: Stages = items) -> DataFrame:
-    return over(spark, folder, n=4).candidates.where("size > 1").groupBy("size").agg(F.sum("tf").alias("occurrences"))
+    return over(spark, folder, n=4).counts().where("size > 1").groupBy("size").agg(F.sum("occurrences").alias("occurrences"))
 
 
 def stopword_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -347,9 +359,9 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return keywords_seqm(spark, folder).select("doc_id", "rank", "keyword", "score")
 
 
-def of_documents(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def of_documents(query: Callable[..., DataFrame], over: Stages = corpus) -> Callable[[SparkSession, str], DataFrame]:
     """A query of the stages over all documents."""
-    return lambda spark, folder: query(spark, folder, corpus).withColumnRenamed("item_id", "doc_id")
+    return lambda spark, folder: query(spark, folder, over).withColumnRenamed("item_id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -365,8 +377,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     stages = [
         tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges, cooccurrence_window2, graph_metrics,
-        term_scores, candidate_scores, candidate_scores_no_kpf, candidate_scores_wfreq_only, candidate_validity,
-        ngram_freq_by_size, bio_decode,
+        term_scores, candidate_scores, candidate_scores_no_kpf, candidate_validity, ngram_freq_by_size, bio_decode,
     ]
-    whole = {f"{f.__name__}_documents": of_documents(f) for f in stages}
+    of_phrases = [candidate_scores_wfreq_only]
+    whole = {f"{f.__name__}_documents": of_documents(f) for f in stages} | {f"{f.__name__}_documents": of_documents(f, phrases) for f in of_phrases}
     return {f.__name__: f for f in own} | {"compact_keywords": compact} | whole
