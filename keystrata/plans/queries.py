@@ -377,8 +377,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     stages = [
         tokenize, token_tags, term_frequency, doc_term_stats, cooccurrence_edges, cooccurrence_window2, graph_metrics,
-        term_scores, candidate_scores_no_kpf, bio_decode,
+        term_scores, bio_decode,
     ]
-    of_phrases = [candidate_scores, candidate_scores_wfreq_only, candidate_validity, ngram_freq_by_size]
+    of_phrases = [candidate_scores, candidate_scores_no_kpf, candidate_scores_wfreq_only, candidate_validity, ngram_freq_by_size]
     whole = {f"{f.__name__}_documents": of_documents(f) for f in stages} | {f"{f.__name__}_documents": of_documents(f, phrases) for f in of_phrases}
     return {f.__name__: f for f in own} | {"compact_keywords": compact} | whole

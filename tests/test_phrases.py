@@ -65,7 +65,7 @@ def test_chunks_and_forgotten_words(spark, folder, monkeypatch):
     assert counted([[t] for t in texts]) == counted([texts[:4], texts[4:]]) == whole and len(whole) > 20
 
 
-@pytest.mark.parametrize("name", ["candidate_scores_wfreq_only", "ngram_freq_by_size", "candidate_scores", "candidate_validity"])
+@pytest.mark.parametrize("name", ["candidate_scores_wfreq_only", "ngram_freq_by_size", "candidate_scores", "candidate_validity", "candidate_scores_no_kpf"])
 def test_only_texts_are_exchanged(spark, folder, name):
     plan = entry.queries()[f"{name}_documents"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" not in plan and "Join" not in plan
